@@ -7,13 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, lines, topk, warc
+from . import chat, lines, near_dups, packing, topk, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     extra = "</s>[INST] ok [/INST]"
@@ -61,6 +65,10 @@ SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM ranked WHERE
 """
 
 
+def op6_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dups.classes(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.convert(_table(spark, sf_dir, "pages").select("page_id", "url", "html"))
 
@@ -76,6 +84,20 @@ FROM p LEFT JOIN f USING (payload_digest)
 """
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.learn(documents, _table(spark, sf_dir, "labels").select("doc_id", "toxic"))
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 == 1, F.lit(False))
+    scored = toxicity.score(documents, model)
+    return scored.select(
+        "doc_id",
+        held_out.alias("held_out"),
+        F.col("__score").alias("score"),
+        (F.col("__score") >= toxicity.THRESHOLD).cast("int").alias("predicted"),
+        F.col("__spans").alias("spans"),
+    )
+
+
 def op10_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = lines.remove_boilerplate(_table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
     text = F.coalesce("text", F.lit(""))
@@ -110,9 +132,12 @@ FROM d
 """
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_packing": op3_packing,
     "op4_chat": op4_chat,
     "op5_topk": op5_topk,
+    "op6_near_dups": op6_near_dups,
     "op8_warc": op8_warc,
+    "op9_toxicity": op9_toxicity,
     "op10_lines": op10_lines,
 }
 SQL: dict[str, str] = {"op4_chat": OP4_SQL, "op5_topk": OP5_SQL, "op8_warc": OP8_SQL, "op10_lines": OP10_SQL}
