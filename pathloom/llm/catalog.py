@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, lines, near_dups, packing, topk, toxicity, warc
+from . import chat, lines, near_dups, packing, repeats, topk, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -69,6 +69,17 @@ def op6_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dups.classes(_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op7_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = repeats.remove_repeats(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select(
+        "doc_id",
+        F.col("__n_bytes").alias("n_bytes"),
+        F.col("__n_removed").alias("n_removed"),
+        F.col("__n_spans").alias("n_spans"),
+        F.sha2("__kept", 256).alias("kept_sha256"),
+    )
+
+
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.convert(_table(spark, sf_dir, "pages").select("page_id", "url", "html"))
 
@@ -136,6 +147,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_chat": op4_chat,
     "op5_topk": op5_topk,
     "op6_near_dups": op6_near_dups,
+    "op7_repeats": op7_repeats,
     "op8_warc": op8_warc,
     "op9_toxicity": op9_toxicity,
     "op10_lines": op10_lines,
