@@ -1,19 +1,64 @@
 """The corpus pipeline: documents through the stages in STAGES, each written as Parquet
-and read again as the next one's documents."""
+and read again as the next one's documents.
+
+All stages but the last return the columns of documents (``n_chars`` follows ``text``):
+
+1. toxicity: documents scored as toxic go;
+2. lines: boilerplate lines go out of the texts;
+3. near_dups: of each class of near-duplicates the document with the smallest id stays;
+4. repeats: byte strings that repeat go out of the texts (halves of cut characters too);
+5. packing: the texts are packed into sequences of tokens.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from pathloom.llm import lines, near_dups, packing, repeats, toxicity
+from pathloom.llm.common import new_path
+
+
+def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic")
+    model = toxicity.learn(docs, labels)
+    return toxicity.score(docs, model).where(F.col("__score") < toxicity.THRESHOLD).select(*docs.columns)
+
+
+def lines_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return _counted(lines.remove_boilerplate(docs).select(*docs.columns))
+
+
+def near_dups_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return near_dups.keep_one(docs)
 
-STAGES: list = []
+
+def repeats_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    out = repeats.remove_repeats(docs).withColumn("text", F.col("__text"))
+    return _counted(out.select(*docs.columns))
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(docs.select("doc_id", "text"))
+
+
+def _counted(docs: DataFrame) -> DataFrame:
+    return docs.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else docs
+
+
+STAGES = [
+    ("toxicity", toxicity_stage),
+    ("lines", lines_stage),
+    ("near_dups", near_dups_stage),
+    ("repeats", repeats_stage),
+    ("packing", packing_stage),
+]
 #: Its stages are not all expressible in SQL; the tests hold them against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages applied to documents."""
-    from pathloom.llm.common import new_path
-
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
         path = new_path(spark, f"stage-{name}")

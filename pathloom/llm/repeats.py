@@ -257,8 +257,9 @@ def repeated_windows(keyed: DataFrame, group: int = GROUP) -> DataFrame:
 
 
 def remove_repeats(documents: DataFrame, group: int = GROUP) -> DataFrame:
-    """``documents`` with ``__kept`` (the remaining bytes), ``__n_bytes``, ``__n_removed``
-    and ``__n_spans``."""
+    """``documents`` with ``__kept`` (the remaining bytes), ``__n_bytes``, ``__n_removed``,
+    ``__n_spans``, and ``__text``: the remaining bytes as text, without the halves of
+    characters that a span has cut."""
     keyed = _keyed(documents)
     runs = materialise(repeated_windows(keyed, group), "repeats-runs")
     per = materialise(runs.groupBy("rid").agg(F.collect_list(F.struct("low", "high")).alias("__runs")), "repeats-per")
@@ -268,15 +269,15 @@ def remove_repeats(documents: DataFrame, group: int = GROUP) -> DataFrame:
     data = F.encode(F.coalesce("text", F.lit("")), "UTF-8")
     size = F.octet_length(F.coalesce("text", F.lit(""))).cast("long")
     clean = keyed.join(known, own, "left_anti").drop("__rid")
-    clean = clean.select(*documents.columns, data.alias("__kept"), size.alias("__n_bytes"), F.lit(0).cast("long").alias("__n_removed"), F.lit(0).cast("long").alias("__n_spans"))
-    more = [T.StructField("__kept", T.BinaryType()), T.StructField("__n_bytes", T.LongType()), T.StructField("__n_removed", T.LongType()), T.StructField("__n_spans", T.LongType())]
+    clean = clean.select(*documents.columns, data.alias("__kept"), size.alias("__n_bytes"), F.lit(0).cast("long").alias("__n_removed"), F.lit(0).cast("long").alias("__n_spans"), F.coalesce("text", F.lit("")).alias("__text"))
+    more = [T.StructField("__kept", T.BinaryType()), T.StructField("__n_bytes", T.LongType()), T.StructField("__n_removed", T.LongType()), T.StructField("__n_spans", T.LongType()), T.StructField("__text", T.StringType())]
     schema = T.StructType([*documents.schema.fields, *more])
     width = len(documents.columns)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
             at = b.schema.get_field_index("text")
-            kept, sizes, removed, spans = [], [], [], []
+            kept, sizes, removed, spans, texts = [], [], [], [], []
             for text, runs in zip(utf8(b.column(at)).to_pylist(), b.column(width + 1).to_pylist(), strict=True):
                 data = text.encode()
                 out, end, n = [], 0, 0
@@ -288,12 +289,13 @@ def remove_repeats(documents: DataFrame, group: int = GROUP) -> DataFrame:
                     n, end = n + 1, high + LENGTH
                 out.append(data[end:])
                 kept.append(b"".join(out))
+                texts.append("".join(part.decode("utf-8", "ignore") for part in out))
                 sizes.append(len(data))
                 removed.append(len(data) - len(kept[-1]))
                 spans.append(n)
             columns = [c.cast(pa.string()) if i == at else c for i, c in enumerate(b.columns[:width])]
             yield pa.RecordBatch.from_arrays(
-                [*columns, pa.array(kept, pa.binary()), pa.array(sizes, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, pa.int64())],
+                [*columns, pa.array(kept, pa.binary()), pa.array(sizes, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(texts, pa.string())],
                 names=[f.name for f in schema.fields],
             )
 

@@ -12,7 +12,8 @@ Training takes a bounded sample, the ``TRAIN_DOCS`` labelled documents with the
 hash of their doc_id, so it costs the same at any size; scoring covers every whole text.
 Labels, lang, source and doc_id are no input of a score.
 
-Defined results: a null or empty text has no tokens and gets the score of that; labels
+Defined results: a null text becomes empty, an empty one has no tokens and gets the score
+of that; labels
 that are null or whose doc_id is null are not learned from; a document with several labels
 is learned from once for each; without labels of both kinds every score is 0; an empty
 table gives an empty result; other columns are passed through (added ones have a ``__``
@@ -61,7 +62,6 @@ def tokens(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     first[ends] = True
     starts = np.flatnonzero(inside & first[:-1])
     last = np.empty(len(data), bool)
-    last[:-1] = first[1:-1] | ~inside[1:]
     last[:-1] = ~inside[1:]
     last[-1] = True
     cut = ends[1:-1]
