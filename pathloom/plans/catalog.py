@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
+from ..operators import wiring
+from . import models, networks  # noqa: F401  (they register their queries)
+from .adapters import Tables
+from .registry import QUERIES, SQL
+
+__all__ = ["QUERIES", "SQL", "entry"]
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/part.parquet")
+    """Model, regulatory wiring, degrees: the edges of the network with what they carry."""
+    t = Tables(spark, sf_dir)
+    return wiring.add_degrees(wiring.deduplicate(wiring.add_reverse(wiring.wire(t.participants()), t.reactions())))
