@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions import scalars as S
 from ..functions import stats
@@ -81,7 +82,7 @@ def _(t: Tables) -> DataFrame:
 
 @query(
     "path_polarity",
-    """l AS (SELECT l_orderkey AS path_id, l_linenumber * 10000000::BIGINT + l_partkey AS step, CASE WHEN l_returnflag = 'R' THEN 'inhibition' WHEN l_returnflag = 'A' THEN 'activation' WHEN l_linenumber % 2 = 0 THEN 'bystander' ELSE 'ambiguous' END AS p FROM lineitem),
+    """l AS (SELECT l_orderkey AS path_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS step, CASE WHEN l_returnflag = 'R' THEN 'inhibition' WHEN l_returnflag = 'A' THEN 'activation' WHEN l_linenumber % 2 = 0 THEN 'bystander' ELSE 'ambiguous' END AS p FROM lineitem),
     x AS (SELECT *, sum((p = 'inhibition')::INT) OVER w AS turns, max((p = 'ambiguous')::INT) OVER w AS seen, min((p = 'ambiguous')::INT) OVER (PARTITION BY path_id) AS solely
       FROM l WINDOW w AS (PARTITION BY path_id ORDER BY step ROWS UNBOUNDED PRECEDING))
     SELECT path_id, step, CASE WHEN solely = 1 THEN 'ambiguous' ELSE CASE WHEN seen = 1 THEN 'ambiguous ' ELSE '' END || CASE WHEN turns % 2 = 0 THEN 'activation' ELSE 'inhibition' END END AS net_polarity FROM x""".replace("l AS", "WITH l AS", 1),
@@ -89,8 +90,9 @@ def _(t: Tables) -> DataFrame:
 def _(t: Tables) -> DataFrame:
     flag, odd = F.col("l_returnflag"), F.col("l_linenumber") % 2
     p = F.when(flag == "R", "inhibition").when(flag == "A", "activation").when(odd == 0, "bystander").otherwise("ambiguous")
-    # line numbers repeat inside an order, so the part is the step's second half
-    links = t.lineitem.select(F.col("l_orderkey").alias("path_id"), (F.col("l_linenumber").cast("long") * 10000000 + F.col("l_partkey")).alias("step"), p.alias("link_polarity"))
+    # line numbers repeat inside an order: its steps are numbered anew
+    step = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"))
+    links = t.lineitem.select(F.col("l_orderkey").alias("path_id"), step.alias("step"), p.alias("link_polarity"))
     return traverse.net_polarity(links).select("path_id", "step", "net_polarity")
 
 
