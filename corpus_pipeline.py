@@ -16,17 +16,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pathloom.llm import lines, near_dups, packing, repeats, toxicity
-from pathloom.llm.common import new_path
+from pathloom.llm.common import new_path, original
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic")
     model = toxicity.learn(docs, labels)
-    return toxicity.score(docs, model).where(F.col("__score") < toxicity.THRESHOLD).select(*docs.columns)
+    return original(toxicity.score(docs, model).where(F.col("__score") < toxicity.THRESHOLD), docs.columns)
 
 
 def lines_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _counted(lines.remove_boilerplate(docs).select(*docs.columns))
+    return _counted(original(lines.remove_boilerplate(docs), docs.columns))
 
 
 def near_dups_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,7 +35,7 @@ def near_dups_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def repeats_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     out = repeats.remove_repeats(docs).withColumn("text", F.col("__text"))
-    return _counted(out.select(*docs.columns))
+    return _counted(original(out, docs.columns))
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -78,6 +78,16 @@ def parts(spark: SparkSession, rows: int, each: int) -> int:
     return max(2, -(-rows // each))
 
 
+def keep_clear(df: DataFrame, *added: str) -> DataFrame:
+    """``df`` with columns named like ones that an operator adds renamed to ``NAME_input``."""
+    return df.withColumnsRenamed({c: f"{c}_input" for c in added if c in df.columns})
+
+
+def original(df: DataFrame, columns: list[str]) -> DataFrame:
+    """The columns that a table had before :func:`keep_clear`, under their names."""
+    return df.select(*[F.col(f"{c}_input" if f"{c}_input" in df.columns and f"{c}_input" not in columns else c).alias(c) for c in columns])
+
+
 # --- Arrow batches ---------------------------------------------------------------
 
 

@@ -11,8 +11,8 @@ a copy of something widespread rather than a carrier of boilerplate, and is left
 Defined results: a null text is empty; a null source is no site; blank lines (of spaces
 or nothing) are never boilerplate; rows that repeat are treated alike; a row with a null
 doc_id counts for the spread and keeps its text; an empty table gives an empty result;
-other columns are passed through by :func:`remove_boilerplate` (columns it adds are kept
-apart by names with a ``__`` prefix).
+other columns are passed through by :func:`remove_boilerplate` (one that is named like an
+added column is called ``NAME_input``).
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, small_or_shuffled
+from .common import keep_clear, materialise, small_or_shuffled
 
 MIN_SITES = 10
 MOST_REMOVED = 0.5
@@ -75,6 +75,7 @@ def boilerplate(documents: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
 def remove_boilerplate(documents: DataFrame, min_sites: int = MIN_SITES, most_removed: float = MOST_REMOVED) -> DataFrame:
     """``documents`` with ``text`` without its boilerplate lines, and ``__n_lines`` and
     ``__n_removed``."""
+    documents = keep_clear(documents, "__at", "__hits", "__n_lines", "__n_removed")
     common = boilerplate(documents, min_sites)
     hits = (
         documents.where(F.col("doc_id").isNotNull())

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from . import bagminhash as bmh
-from .common import bytes_of, drop, materialise, mix, slices, small_or_shuffled
+from .common import bytes_of, drop, keep_clear, materialise, mix, original, slices, small_or_shuffled
 
 SIMILARITY = 0.8
 BANDS = 16
@@ -320,13 +320,15 @@ def classes(documents: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
 def keep_one(documents: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """``documents`` with one row of each class: that with the smallest doc_id, and of
     rows with equal doc_id in one class any one."""
+    columns = documents.columns
+    documents = keep_clear(documents, "__n")
     gone = materialise(classes(documents, similarity).where("not keep").select("doc_id").distinct(), "near-gone")
     left = documents.join(small_or_shuffled(gone), "doc_id", "left_anti")
     again = materialise(documents.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.count(F.lit(1)).alias("__n")).where("__n > 1").select("doc_id"), "near-again")
     n = again.count()
     if not n:
-        return left
+        return original(left, columns)
     again = small_or_shuffled(again, n)
     order = Window.partitionBy("doc_id").orderBy(F.xxhash64(*[F.col(c) for c in documents.columns if c != "doc_id"]))
     twice = left.join(again, "doc_id", "left_semi").withColumn("__n", F.row_number().over(order)).where("__n = 1").drop("__n")
-    return left.join(again, "doc_id", "left_anti").select(*documents.columns).unionByName(twice.select(*documents.columns))
+    return original(left.join(again, "doc_id", "left_anti").select(*documents.columns).unionByName(twice.select(*documents.columns)), columns)

@@ -18,7 +18,8 @@ that have repeated windows.
 Defined results: a null text is empty; texts below 400 bytes keep all bytes; rows that
 repeat are texts of their own, so both lose what they share; doc_id may be null or
 repeat (a row is known by a hash of doc_id and text); an empty table gives an empty
-result; other columns are passed through by :func:`remove_repeats`.
+result; other columns are passed through by :func:`remove_repeats` (one that is named like
+an added column is called ``NAME_input``).
 """
 
 from __future__ import annotations
@@ -34,7 +35,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from . import anchors, bwt
-from .common import as_long, bytes_of, materialise, slices, small_or_shuffled, utf8
+from .common import as_long, bytes_of, keep_clear, materialise, slices, small_or_shuffled, utf8
 
 LENGTH = anchors.LENGTH
 #: Strings of a name, and in a merged transform, at most.
@@ -260,15 +261,15 @@ def remove_repeats(documents: DataFrame, group: int = GROUP) -> DataFrame:
     """``documents`` with ``__kept`` (the remaining bytes), ``__n_bytes``, ``__n_removed``,
     ``__n_spans``, and ``__text``: the remaining bytes as text, without the halves of
     characters that a span has cut."""
+    documents = keep_clear(documents, "__rid", "__runs", "__kept", "__n_bytes", "__n_removed", "__n_spans", "__text")
     keyed = _keyed(documents)
-    runs = materialise(repeated_windows(keyed, group), "repeats-runs")
-    per = materialise(runs.groupBy("rid").agg(F.collect_list(F.struct("low", "high")).alias("__runs")), "repeats-per")
-    known = small_or_shuffled(per.select("rid"))
-    own = F.col("__rid") == F.col("rid")
-    hit = keyed.join(known, own, "left_semi").join(per, own).drop("rid")
+    runs = materialise(repeated_windows(keyed.select("doc_id", "text", "__rid"), group), "repeats-runs")
+    per = materialise(runs.groupBy(F.col("rid").alias("__rid")).agg(F.collect_list(F.struct("low", "high")).alias("__runs")), "repeats-per")
+    known = small_or_shuffled(per.select("__rid"))
+    hit = keyed.join(known, "__rid", "left_semi").join(per, "__rid")
     data = F.encode(F.coalesce("text", F.lit("")), "UTF-8")
     size = F.octet_length(F.coalesce("text", F.lit(""))).cast("long")
-    clean = keyed.join(known, own, "left_anti").drop("__rid")
+    clean = keyed.join(known, "__rid", "left_anti").drop("__rid")
     clean = clean.select(*documents.columns, data.alias("__kept"), size.alias("__n_bytes"), F.lit(0).cast("long").alias("__n_removed"), F.lit(0).cast("long").alias("__n_spans"), F.coalesce("text", F.lit("")).alias("__text"))
     more = [T.StructField("__kept", T.BinaryType()), T.StructField("__n_bytes", T.LongType()), T.StructField("__n_removed", T.LongType()), T.StructField("__n_spans", T.LongType()), T.StructField("__text", T.StringType())]
     schema = T.StructType([*documents.schema.fields, *more])

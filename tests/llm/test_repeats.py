@@ -28,7 +28,7 @@ def same(df, group=repeats.GROUP):
     source = [r.text for r in df.collect()]
     want = sorted((len((t or "").encode()), spans, hashlib.sha256(kept).hexdigest()) for t, (kept, spans) in zip(source, brute([(t or "").encode() for t in source]), strict=True))
     got = repeats.remove_repeats(df, group).collect()
-    assert sorted((r.__getattr__("__n_bytes"), r.__getattr__("__n_spans"), hashlib.sha256(r.__getattr__("__kept")).hexdigest()) for r in got) == want
+    assert sorted((r["__n_bytes"], r["__n_spans"], hashlib.sha256(r["__kept"]).hexdigest()) for r in got) == want
 
 
 def test_cases(spark):

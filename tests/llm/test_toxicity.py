@@ -49,11 +49,11 @@ def test_held_out_accuracy(spark):
     model = toxicity.learn(docs, labels)
     new = corpus(300, 2)
     out = toxicity.score(spark.createDataFrame([(i, t, b) for i, t, b in new], "doc_id long, text string, toxic int"), model).collect()
-    called = [(r.toxic, r.__getattr__("__score") >= toxicity.THRESHOLD) for r in out]
+    called = [(r.toxic, r["__score"] >= toxicity.THRESHOLD) for r in out]
     assert np.mean([t == c for t, c in called]) > 0.97
     assert not any(c for t, c in called if not t)
     for r in out:
-        for s in r.__getattr__("__spans"):
+        for s in r["__spans"]:
             assert r.text.encode()[s.start : s.end].lower().startswith((b"vile", b"snark", b"grumb"))
 
 
@@ -64,7 +64,7 @@ def test_cases(spark):
         out = toxicity.score(docs, model)
         assert out.columns == [*docs.columns, "__score", "__spans"]
         got = out.collect()
-        assert len(got) == docs.count() and all(0 <= r.__getattr__("__score") <= 1 for r in got)
+        assert len(got) == docs.count() and all(0 <= r["__score"] <= 1 for r in got)
         assert toxicity.score(empty(spark), model).count() == 0
 
 
