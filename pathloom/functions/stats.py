@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -10,15 +12,28 @@ from pyspark.sql.window import Window
 ERFC = (-1.26551223, 1.00002368, 0.37409196, 0.09678418, -0.18628806, 0.27886807, -1.13520398, 1.48851587, -0.82215223, 0.17087277)
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often the body names it: without
+    that, formulas that nest would be written out many times over."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def normal_tail(z: Column) -> Column:
     """P(Z > z) of the standard normal distribution, to about seven digits."""
-    x = F.abs(z) / F.sqrt(F.lit(2.0))
-    t = 1.0 / (1.0 + 0.5 * x)
-    poly = F.lit(ERFC[-1])
-    for c in reversed(ERFC[:-1]):
-        poly = F.lit(c) + t * poly
-    upper = 0.5 * t * F.exp(-x * x + poly)
-    return F.when(z >= 0, upper).otherwise(1.0 - upper)
+
+    def poly(t: Column) -> Column:
+        out = F.lit(ERFC[-1])
+        for c in reversed(ERFC[:-1]):
+            out = F.lit(c) + t * out
+        return out
+
+    def upper(x: Column) -> Column:
+        return let(1.0 / (1.0 + 0.5 * x), lambda t: 0.5 * t * F.exp(-x * x + poly(t)))
+
+    def tail(z: Column) -> Column:
+        return let(upper(F.abs(z) / F.sqrt(F.lit(2.0))), lambda u: F.when(z >= 0, u).otherwise(1.0 - u))
+
+    return let(z, tail)
 
 
 def normal_tail_sql(z: str) -> str:

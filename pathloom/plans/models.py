@@ -271,14 +271,14 @@ def _(t: Tables) -> DataFrame:
 
 @query(
     "direct_interactions",
-    """e AS (SELECT DISTINCT a.sc_id AS sc_id_upstream, b.sc_id AS sc_id_downstream FROM participants a JOIN participants b USING (r_id) WHERE a.s_id < b.s_id AND a.s_id % 10 = 0)
+    """e AS (SELECT DISTINCT a.sc_id AS sc_id_upstream, b.sc_id AS sc_id_downstream FROM participants a JOIN participants b USING (r_id) WHERE a.s_id < b.s_id)
     SELECT DISTINCT sc_id_upstream, sc_id_downstream, a.r_id FROM e JOIN participants a ON a.sc_id = sc_id_upstream JOIN participants b ON b.sc_id = sc_id_downstream AND a.r_id = b.r_id
     WHERE (a.stoichiometry < 0 AND b.stoichiometry > 0) OR (a.stoichiometry = 0 AND b.stoichiometry <> 0)""",
     ["participants"],
 )
 def _(t: Tables) -> DataFrame:
     p = t.participants()
-    a = p.where("s_id % 10 = 0").select("r_id", F.col("s_id").alias("x"), F.col("sc_id").alias("sc_id_upstream"))
+    a = p.select("r_id", F.col("s_id").alias("x"), F.col("sc_id").alias("sc_id_upstream"))
     e = a.join(p.select("r_id", F.col("s_id").alias("y"), F.col("sc_id").alias("sc_id_downstream")), "r_id").where("x < y").select("sc_id_upstream", "sc_id_downstream").distinct()
     return matching.direct_interactions(e, p)
 
@@ -320,10 +320,10 @@ def _(t: Tables) -> DataFrame:
 
 for _logic, _op in (("and", "INTERSECT"), ("or", "UNION")):
 
-    @query(f"universe_{_logic}", f"x AS (SELECT src, dst FROM trade WHERE n % 2 = 0 {_op} SELECT src, dst FROM trade WHERE n > 100) SELECT src, dst FROM x WHERE src < 20 AND dst < 20", ["trade"])
+    @query(f"universe_{_logic}", f"x AS (SELECT src, dst FROM trade WHERE weight < 9.5 {_op} SELECT src, dst FROM trade WHERE n < 130) SELECT src, dst FROM x", ["trade"])
     def _(t: Tables, logic: str = _logic) -> DataFrame:
         e = t.trade()
-        return edgelist.universe([e.where("n % 2 = 0"), e.where("n > 100")], logic, t.nation.where("n_nationkey < 20").select(F.col("n_nationkey").alias("name")))
+        return edgelist.universe([e.where("weight < 9.5"), e.where("n < 130")], logic, t.nation.select(F.col("n_nationkey").alias("name")))
 
 
 @query("universe_complete", "SELECT DISTINCT least(a.n_nationkey, b.n_nationkey) AS src, greatest(a.n_nationkey, b.n_nationkey) AS dst FROM nation a, nation b WHERE a.n_nationkey <> b.n_nationkey")
@@ -346,17 +346,18 @@ def _(t: Tables) -> DataFrame:
 
 @query(
     "underspecified_reactions",
-    """g AS (SELECT *, s_id % 7 = 0 AS gone, CASE WHEN sbo_term IN ('SBO:0000010', 'SBO:0000011') THEN 'D' WHEN sbo_term = 'SBO:0000013' THEN 'R' ELSE 'O' END AS rule FROM participants),
+    """g AS (SELECT p.*, p_size < 8 AS gone, CASE WHEN sbo_term IN ('SBO:0000010', 'SBO:0000011') THEN 'D' WHEN sbo_term = 'SBO:0000013' THEN 'R' ELSE 'O' END AS rule FROM participants p JOIN part ON s_id = p_partkey),
     x AS (SELECT r_id, sbo_term, rule, bool_or(gone) AS part_gone, bool_and(gone) AS all_gone FROM g GROUP BY 1, 2, 3)
     SELECT DISTINCT r_id FROM x WHERE (rule = 'D' AND part_gone) OR (rule = 'R' AND all_gone)""",
     ["participants"],
 )
 def _(t: Tables) -> DataFrame:
     p = t.participants()
-    return integrity.underspecified(p, p.where("s_id % 7 = 0").select("sc_id"))
+    small = t.part.where("p_size < 8").select(F.col("p_partkey").alias("s_id"))
+    return integrity.underspecified(p, p.join(small, "s_id", "left_semi").select("sc_id"))
 
 
-_CASCADE = """forms AS (SELECT sc_id FROM cspecies WHERE s_id % 50 = 0),
+_CASCADE = """forms AS (SELECT sc_id FROM cspecies WHERE s_id IN (SELECT p_partkey FROM part WHERE p_size = 1)),
     g AS (SELECT *, sc_id IN (SELECT sc_id FROM forms) AS gone, CASE WHEN sbo_term IN ('SBO:0000010', 'SBO:0000011') THEN 'D' WHEN sbo_term = 'SBO:0000013' THEN 'R' ELSE 'O' END AS rule FROM participants),
     x AS (SELECT r_id, sbo_term, rule, bool_or(gone) AS part_gone, bool_and(gone) AS all_gone FROM g GROUP BY 1, 2, 3),
     r AS (SELECT DISTINCT r_id FROM x WHERE (rule = 'D' AND part_gone) OR (rule = 'R' AND all_gone)),
@@ -367,7 +368,7 @@ _CASCADE = """forms AS (SELECT sc_id FROM cspecies WHERE s_id % 50 = 0),
 
 @query("cascade_delete", _CASCADE, ["participants", "cspecies"])
 def _(t: Tables) -> DataFrame:
-    parts = integrity.cascade(t.part.where("p_partkey % 50 = 0").select(F.col("p_partkey").alias("s_id")), t.cspecies(), t.participants())
+    parts = integrity.cascade(t.part.where("p_size = 1").select(F.col("p_partkey").alias("s_id")), t.cspecies(), t.participants())
     out = None
     for name, df in parts.items():
         part = df.select(F.lit(name).alias("entity"), F.col(df.columns[0]).alias("id"))

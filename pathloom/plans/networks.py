@@ -59,13 +59,13 @@ for _up in (False, True):
 
 @query(
     "neighbours_two_steps",
-    """e AS (SELECT DISTINCT src, dst FROM trade), f AS (SELECT n_nationkey AS focal FROM nation WHERE n_nationkey < 5),
+    """e AS (SELECT DISTINCT src, dst FROM trade), f AS (SELECT n_nationkey AS focal FROM nation),
     x AS (SELECT focal, focal AS name, 0 AS hops FROM f UNION ALL SELECT focal, dst, 1 FROM f JOIN e ON focal = src UNION ALL SELECT focal, b.dst, 2 FROM f JOIN e a ON focal = a.src JOIN e b ON a.dst = b.src)
     SELECT focal, name, min(hops)::INTEGER AS hops FROM x GROUP BY 1, 2""",
     ["trade"],
 )
 def _(t: Tables) -> DataFrame:
-    return traverse.neighbours(t.trade(), t.nation.where("n_nationkey < 5").select(F.col("n_nationkey").alias("name")), 2)
+    return traverse.neighbours(t.trade(), t.nation.select(F.col("n_nationkey").alias("name")), 2)
 
 
 @query("pruned_neighbours", "SELECT focal, name, n FROM (SELECT src AS focal, dst AS name, n, rank() OVER (PARTITION BY src ORDER BY n) AS r FROM trade) WHERE r <= 3", ["trade"])
@@ -75,7 +75,7 @@ def _(t: Tables) -> DataFrame:
 
 @query("shortest_paths")
 def _(t: Tables) -> DataFrame:
-    targets = t.nation.where("n_nationkey between 1 and 9").select(F.col("n_nationkey").alias("name"))
+    targets = t.nation.select(F.col("n_nationkey").alias("name"))
     e = t.trade().select(F.col("src").cast("string").alias("src"), F.col("dst").cast("string").alias("dst"), "weight")
     return traverse.shortest_paths(e, "0", targets.select(F.col("name").cast("string").alias("name")), "weight", 8).select("dest", F.array_join("path", ">").alias("path"), F.round("distance", 6).alias("distance"))
 
@@ -169,11 +169,11 @@ def _(t: Tables) -> DataFrame:
 _FO, _FP = stats.fisher_sql("a", "b", "c", "d")
 
 
-@query("fisher_exact", f"WITH x AS (SELECT p_partkey, p_size AS a, p_partkey % 13 AS b, p_partkey % 7 AS c, 20 + p_partkey % 31 AS d FROM part) SELECT p_partkey, round({_FO}, 6) AS odds, round({_FP}, 6) AS p FROM x WHERE b * c <> 0")
+@query("fisher_exact", f"WITH x AS (SELECT p_partkey, p_size AS a, 1 + p_partkey % 13 AS b, 1 + p_partkey % 7 AS c, 20 + p_partkey % 31 AS d FROM part) SELECT p_partkey, round({_FO}, 6) AS odds, round({_FP}, 6) AS p FROM x")
 def _(t: Tables) -> DataFrame:
     k = F.col("p_partkey")
-    odds, p = stats.fisher(F.col("p_size"), k % 13, k % 7, 20 + k % 31)
-    return t.part.where((k % 13) * (k % 7) != 0).select("p_partkey", F.round(odds, 6).alias("odds"), F.round(p, 6).alias("p"))
+    odds, p = stats.fisher(F.col("p_size"), 1 + k % 13, 1 + k % 7, 20 + k % 31)
+    return t.part.select("p_partkey", F.round(odds, 6).alias("odds"), F.round(p, 6).alias("p"))
 
 
 @query("proportion_test", f"WITH x AS (SELECT p_partkey, (p_size % 20 + 1)::DOUBLE AS k, 50.0::DOUBLE AS n, (100 + p_partkey % 300)::DOUBLE AS big_k, 1000.0::DOUBLE AS big_n FROM part) SELECT p_partkey, round(n * big_k / big_n, 6) AS expected, round((k / (n - k)) / (big_k / (big_n - big_k)), 6) AS odds, round({stats.normal_tail_sql('(k / n - big_k / big_n) / sqrt(big_k / big_n * (1 - big_k / big_n) / n)')}, 6) AS p FROM x")
@@ -190,7 +190,7 @@ def _(t: Tables) -> DataFrame:
 
 def _ora_sql() -> str:
     odds, p = stats.fisher_sql("k", "(set_size - k)", "(n_hits - k)", "(universe_size - set_size - n_hits + k)")
-    return f"""h AS (SELECT DISTINCT l_partkey AS member FROM lineitem WHERE l_discount >= 0.09 AND l_partkey % 3 = 0),
+    return f"""h AS (SELECT DISTINCT l_partkey AS member FROM lineitem WHERE l_discount >= 0.09 AND l_quantity >= 49 AND l_returnflag = 'R'),
     x AS (SELECT geneset, count(h.member) AS k, count(*) AS set_size FROM brand_sets LEFT JOIN h USING (member) GROUP BY 1),
     y AS (SELECT *, (SELECT count(*) FROM h) AS n_hits, (SELECT count(*) FROM part) AS universe_size FROM x),
     z AS (SELECT *, {odds} AS odds_ratio, {p} AS p_value FROM y),
@@ -201,7 +201,7 @@ def _ora_sql() -> str:
 
 @query("vertex_ora", _ora_sql(), ["brand_sets"])
 def _(t: Tables) -> DataFrame:
-    hits = t.lineitem.where("l_discount >= 0.09 AND l_partkey % 3 = 0").select(F.col("l_partkey").alias("member"))
+    hits = t.lineitem.where("l_discount >= 0.09 AND l_quantity >= 49 AND l_returnflag = 'R'").select(F.col("l_partkey").alias("member"))
     out = enrichment.vertex_ora(hits, t.brand_sets())
     return out.select("geneset", "k", "set_size", "n_hits", "universe_size", *[F.round(c, 6).alias(c) for c in ("odds_ratio", "p_value", "q_value")])
 
@@ -292,15 +292,15 @@ def _(t: Tables) -> DataFrame:
     return context.disconnected_reactions(p, t.lineitem.select(F.col("l_partkey").alias("member"), F.col("l_suppkey").alias("sample")), 5)
 
 
-@query("attribute_filter", "SELECT p_partkey FROM part WHERE NULLIF(p_size % 5, 0) IS NOT NULL AND p_size % 5 NOT IN (1, 2)")
+@query("attribute_filter", "SELECT p_partkey FROM part WHERE NULLIF(p_brand, 'Brand#11') IS NOT NULL AND p_brand NOT IN ('Brand#12', 'Brand#23')")
 def _(t: Tables) -> DataFrame:
-    df = t.part.select("p_partkey", F.nullif(F.col("p_size") % 5, F.lit(0)).alias("kind"))
-    return context.matching_attribute(df, "kind", [1, 2], negate=True).select("p_partkey")
+    df = t.part.select("p_partkey", F.nullif("p_brand", F.lit("Brand#11")).alias("kind"))
+    return context.matching_attribute(df, "kind", ["Brand#12", "Brand#23"], negate=True).select("p_partkey")
 
 
 @query("zfpkm")
 def _(t: Tables) -> DataFrame:
-    return context.zfpkm(t.lineitem.where("l_suppkey <= 20").select(F.col("l_suppkey").alias("sample"), F.concat_ws("-", "l_orderkey", "l_linenumber").alias("gene"), F.col("l_extendedprice").alias("value")))
+    return context.zfpkm(t.lineitem.select(F.col("l_suppkey").alias("sample"), F.concat_ws("-", "l_orderkey", "l_linenumber").alias("gene"), F.col("l_extendedprice").alias("value")))
 
 
 # --- source-specific steps -------------------------------------------------------
@@ -413,13 +413,13 @@ def _(t: Tables) -> DataFrame:
 
 @query(
     "cosine_nearest",
-    """WITH q AS (SELECT vec_id AS query_id, embedding AS q FROM embeddings WHERE vec_id % 100 = 0),
+    """WITH q AS (SELECT vec_id AS query_id, embedding AS q FROM embeddings WHERE vec_id % 20 = 0),
     x AS (SELECT query_id, vec_id, list_inner_product(embedding::DOUBLE[], q::DOUBLE[]) / (sqrt(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[])) * sqrt(list_inner_product(q::DOUBLE[], q::DOUBLE[]))) AS s FROM embeddings, q WHERE vec_id <> query_id)
     SELECT query_id, vec_id, round(s, 6) AS score, r AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, vec_id)::INTEGER AS r FROM x) WHERE r <= 3""",
 )
 def _(t: Tables) -> DataFrame:
     e = t.embeddings.select("vec_id", "embedding")
-    return search.nearest(e, e.where("vec_id % 100 = 0"), 3).withColumn("score", F.round("score", 6))
+    return search.nearest(e, e.where("vec_id % 20 = 0"), 3).withColumn("score", F.round("score", 6))
 
 
 # --- time ------------------------------------------------------------------------

@@ -58,9 +58,9 @@ def _(t: Tables) -> DataFrame:
     return identifiers.two_tier(left, right, ["p_size", "k"], ["p_size"]).select("s_suppkey", "p_partkey")
 
 
-@query("expanded_identifiers", "SELECT p_partkey AS s_id, 'supplier' AS ontology, 's' || (p_partkey % 7) AS identifier FROM part WHERE p_partkey % 2 = 0")
+@query("expanded_identifiers", "SELECT p_partkey AS s_id, 'supplier' AS ontology, 's' || (p_partkey % 7) AS identifier FROM part")
 def _(t: Tables) -> DataFrame:
-    known = t.part.where("p_partkey % 2 = 0").select(F.col("p_partkey").alias("s_id"), F.lit("key").alias("ontology"), F.col("p_partkey").cast("string").alias("identifier"))
+    known = t.part.select(F.col("p_partkey").alias("s_id"), F.lit("key").alias("ontology"), F.col("p_partkey").cast("string").alias("identifier"))
     wide = t.part.select(F.col("p_partkey").cast("string").alias("key"), F.concat(F.lit("s"), (F.col("p_partkey") % 7).cast("string")).alias("supplier"))
     return identifiers.expand(known, wide)
 
@@ -92,9 +92,9 @@ def _(t: Tables) -> DataFrame:
     return attributes.masks(v, ["n_regionkey", "n_nationkey"], {"n_regionkey": "attr", "n_nationkey": [1, 2]}).select("n_nationkey", "mask_n_regionkey", "mask_n_nationkey")
 
 
-@query("compartment_pairs", "SELECT DISTINCT a.s_id AS origin, b.s_id AS dest, a.sc_id AS sc_id_origin, b.sc_id AS sc_id_dest FROM cspecies a JOIN cspecies b ON b.s_id = a.s_id + 1 WHERE a.s_id % 10 = 0", ["cspecies"])
+@query("compartment_pairs", "SELECT DISTINCT a.s_id AS origin, b.s_id AS dest, a.sc_id AS sc_id_origin, b.sc_id AS sc_id_dest FROM cspecies a JOIN cspecies b ON b.s_id = a.s_id + 1", ["cspecies"])
 def _(t: Tables) -> DataFrame:
-    pairs = t.part.where("p_partkey % 10 = 0").select(F.col("p_partkey").alias("origin"), (F.col("p_partkey") + 1).alias("dest"))
+    pairs = t.part.select(F.col("p_partkey").alias("origin"), (F.col("p_partkey") + 1).alias("dest"))
     return attributes.compartment_pairs(t.cspecies(), pairs)
 
 
