@@ -140,3 +140,37 @@ def merge_models(models: dict[str, Model], qualifiers: tuple[str, ...] = V.DEFIN
     merged_r = merged_r.join(merge_reversibility(reactions, r_look), "new_id").withColumnRenamed("new_id", "r_id")
     merged_p = p.join(r_look.select("model", "r_id", F.col("new_id").alias("__r")), ["model", "r_id"]).select(F.col("__r").alias("r_id"), "sc_id", "stoichiometry", "sbo_term").distinct()
     return Model(entities(compartments, c_look, "c_id", "c_name"), entities(species, s_look, "s_id", "s_name"), merged_sc, merged_r, merged_p)
+
+
+def uncompartmentalise(model: Model) -> Model:
+    """One compartment for all: a form per species, participants by these, net stoichiometries
+    of 0 and reactions without participants left out, equal reactions merged."""
+    from .integrity import trivial_participants
+
+    spark = model.species.sparkSession
+    compartments = spark.createDataFrame([("C00000000", "cellular_component")], "c_id string, c_name string")
+    forms = model.species.select("s_id", F.col("s_name").alias("sc_name"), F.concat(F.lit("SC"), F.col("s_id").cast("string")).alias("sc_id"), F.lit("C00000000").alias("c_id"))
+    look = model.cspecies.select(F.col("sc_id").alias("old"), "s_id").join(forms.select("s_id", "sc_id"), "s_id").select("old", "sc_id")
+    p = model.participants.withColumnRenamed("sc_id", "old").join(look, "old").groupBy("r_id", "sc_id", "sbo_term").agg(F.sum("stoichiometry").alias("stoichiometry"))
+    moving = p.where("stoichiometry <> 0")
+    p = p.join(trivial_participants(moving), ["r_id", "sc_id"], "left_anti")
+    p = materialise(p, "uncompartmentalised")
+    token = F.concat_ws("__", "sc_id", F.format_number(F.col("stoichiometry").cast("double"), 6), "sbo_term")
+    rows = p.withColumn("model", F.lit("one"))
+    look = materialise(number_clusters(member_strings(rows, ["model", "r_id"], token), "R"), "r-look")
+    kept = model.reactions.withColumn("model", F.lit("one"))
+    reactions = best_named(kept.join(look.select("model", "r_id", "new_id"), ["model", "r_id"]), "new_id", "r_name", ["r_name", "model"]).drop("model").join(merge_reversibility(kept, look), "new_id").withColumnRenamed("new_id", "r_id")
+    merged = rows.join(look.select("model", "r_id", "new_id"), ["model", "r_id"]).select(F.col("new_id").alias("r_id"), "sc_id", "stoichiometry", "sbo_term").distinct()
+    return Model(compartments, model.species, forms.select("sc_id", "sc_name", "s_id", "c_id"), reactions, merged)
+
+
+def unconnected_models(entities: DataFrame) -> DataFrame:
+    """component, models, ontologies: more than one row says that some models share no
+    ontology, directly or through others, so that merging them can't match anything."""
+    rows = entities.select("model", F.explode("identifiers").alias("x")).select("model", "x.ontology").distinct()
+    found = components(rows.select(F.concat(F.lit("m "), "model").alias("src"), F.concat(F.lit("o "), "ontology").alias("dst")))
+
+    def part(prefix: str) -> Column:
+        return F.array_sort(F.collect_list(F.when(F.col("name").startswith(prefix), F.substr("name", F.lit(3)))))
+
+    return found.groupBy("component").agg(part("m ").alias("models"), part("o ").alias("ontologies")).drop("component")

@@ -162,3 +162,30 @@ def exchange_gaps(cspecies: DataFrame, exchange: str) -> tuple[DataFrame, DataFr
     lacking = many.join(there, "s_id", "left_anti")
     pairs = mine.where(F.col("c_id") != exchange).select("s_id", F.col("sc_id").alias("sc_id_from")).join(there.select("s_id", F.col("sc_id").alias("sc_id_to")), "s_id")
     return lacking, pairs
+
+
+def transport_status(edges: DataFrame, cspecies: DataFrame, max_steps: int = 6) -> DataFrame:
+    """s_id and whether its forms reach each other in the network: ``single`` (one form),
+    ``unreachable`` (no form reaches another), ``inadequate`` (not all are connected so) or
+    ``valid``."""
+    from ..runtime import materialise
+    from .traverse import components, distances
+
+    many = cspecies.groupBy("s_id").agg(F.countDistinct("sc_id").alias("n_forms"))
+    forms = cspecies.select("s_id", "sc_id").distinct()
+    reach = distances(edges, forms.select(F.col("sc_id").alias("name")), None, max_steps)
+    a, b = forms.select("s_id", F.col("sc_id").alias("origin")), forms.select("s_id", F.col("sc_id").alias("dest"))
+    pairs = materialise(reach.join(a, "origin").join(b, ["s_id", "dest"]).select("s_id", "origin", "dest"), "transport")
+    groups = components(pairs.select(F.col("origin").alias("src"), F.col("dest").alias("dst")))
+    largest = groups.join(forms.withColumnRenamed("sc_id", "name"), "name").groupBy("s_id", "component").agg(F.count(F.lit(1)).alias("n")).groupBy("s_id").agg(F.max("n").alias("n"))
+    status = F.when(F.col("n_forms") == 1, "single").when(F.col("n").isNull(), "unreachable").when(F.col("n") < F.col("n_forms"), "inadequate").otherwise("valid")
+    return many.join(largest, "s_id", "left").select("s_id", status.alias("status"))
+
+
+def exchange_reactions(pairs: DataFrame, names: DataFrame, current_max: int) -> tuple[DataFrame, DataFrame]:
+    """A reversible reaction for each (s_id, sc_id_from, sc_id_to), and its participants."""
+    w = Window.orderBy("sc_id_from", "sc_id_to")
+    r = pairs.join(names.select("s_id", "s_name"), "s_id").withColumn("r_id", S.entity_id(F.row_number().over(w) + current_max, "R"))
+    reactions = r.select("r_id", F.concat(F.col("s_name"), F.lit(" transport")).alias("r_name"), F.lit(True).alias("r_isreversible"))
+    both = F.explode(F.array(F.struct(F.col("sc_id_from").alias("sc_id"), F.lit(-1.0).alias("stoichiometry"), F.lit(V.ROLE_CODES["reactant"]).alias("sbo_term")), F.struct(F.col("sc_id_to").alias("sc_id"), F.lit(1.0).alias("stoichiometry"), F.lit(V.ROLE_CODES["product"]).alias("sbo_term"))))
+    return reactions, r.select("r_id", both.alias("x")).select("r_id", "x.*")

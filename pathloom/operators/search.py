@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -111,6 +111,21 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int, key: str = "vec_id")
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
+def index(documents: DataFrame, embed: Callable[[DataFrame], DataFrame], path: str, component: str, size: int = 1000) -> None:
+    """Chunk a component's documents, embed the chunks (``embed`` adds ``embedding``) and write
+    them as the component's partition, in place of what it had before."""
+    rows = embed(chunks(documents, size=size)).withColumn("component", F.lit(component))
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("component").parquet(path)
+
+
+def search_index(spark: SparkSession, path: str, query: list[float], k: int = 5, component: str | None = None) -> DataFrame:
+    """The k chunks of one component, or of all, most like a query vector."""
+    rows = spark.read.parquet(path)
+    if component:
+        rows = rows.where(F.col("component") == component)
+    return rows.withColumn("score", cosine(F.col("embedding"), F.array(*[F.lit(float(x)) for x in query]))).orderBy(F.desc("score"), "doc_id", "chunk_id").limit(k)
+
+
 def notebook_text(notebooks: DataFrame, key: str = "path", column: str = "content") -> DataFrame:
     """Notebook files (JSON) as markdown: text cells as they are, code cells fenced."""
     schema = "struct<cells:array<struct<cell_type:string,source:array<string>>>>"

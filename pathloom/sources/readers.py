@@ -235,6 +235,31 @@ def set_members(spark: SparkSession, path: str) -> DataFrame:
     return df.select(*needed)
 
 
+@reader("dataset")
+def dataset(
+    spark: SparkSession,
+    path: str,
+    skip: int = 0,
+    rename: dict[str, str] | None = None,
+    without: list[str] | None = None,
+    text: list[str] | None = None,
+    extract: dict[str, tuple[str, str]] | None = None,
+    encoding: str = "UTF-8",
+) -> DataFrame:
+    """A TSV by declaration: banner lines to skip after the header, columns to rename, leave
+    out or read as text, and new columns from a pattern's group in others."""
+    df = spark.read.option("sep", "\t").option("header", True).option("encoding", encoding).option("inferSchema", True).csv(path)
+    if skip:
+        first = df.columns[0]
+        df = df.withColumn("__n", F.monotonically_increasing_id()).where((F.col("__n") >= skip) & F.col(first).isNotNull()).drop("__n")
+    for name, (column, pattern) in (extract or {}).items():
+        df = df.withColumn(name, F.nullif(F.regexp_extract(column, pattern, 1), F.lit("")))
+    df = df.drop(*(without or []))
+    for column in text or []:
+        df = df.withColumn(column, F.col(column).cast("string"))
+    return df.withColumnsRenamed(rename or {})
+
+
 def extension(url: Column) -> Column:
     """The file extension of an address, with ``.gz`` and the like kept on."""
     return F.regexp_extract(F.regexp_replace(url, r"[?#].*$", ""), r"(\.[A-Za-z0-9]+(?:\.(?:gz|zip|bz2))?)$", 1)
