@@ -4,7 +4,7 @@ Tokens are runs of letters and digits; a token's features are hashes of the word
 letters in lower case), of its first 3 to 6 bytes and of its last 3 bytes.  Documents are
 labelled, tokens are not, so a token of a toxic document is labelled toxic if one of its
 features is tied to toxic documents beyond chance (a likelihood ratio against the number
-of features tested).  The field is trained on those labelled tokens.  Forward-backward
+of features tested), and not much less than the best one in the document.  The field is trained on those labelled tokens.  Forward-backward
 marginals give offending spans; a logistic curve over the marginals of a document, fitted
 on the same documents, gives its score.
 
@@ -13,11 +13,10 @@ hash of their doc_id, so it costs the same at any size; scoring covers every who
 Labels, lang, source and doc_id are no input of a score.
 
 Defined results: a null text becomes empty, an empty one has no tokens and gets the score
-of that; labels
-that are null or whose doc_id is null are not learned from; a document with several labels
-is learned from once for each; without labels of both kinds every score is 0; an empty
-table gives an empty result; other columns are passed through (added ones have a ``__``
-prefix).
+of that; labels that are null or whose doc_id is null are not learned from; a document with
+several labels is learned from once for each; without labels of both kinds every score is
+0; an empty table gives an empty result; other columns are passed through (one that is
+named like an added column is called ``NAME_input``).
 """
 
 from __future__ import annotations
@@ -31,14 +30,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bytes_of, mix, powers, slices, utf8
+from .common import SLICE_BYTES, bytes_of, keep_clear, mix, powers, slices, utf8
 
-#: Labelled documents that the model is trained on, at most.
-TRAIN_DOCS = 3000
+#: Labelled documents that the model is trained on, and bytes of their texts, at most.
+TRAIN_DOCS = 2400
+TRAIN_BYTES = 8 << 20
 #: Feature buckets, training rounds and the marginal from which a token offends.
 BUCKETS = 1 << 20
 ROUNDS = 25
 OFFENDS = 0.5
+#: Share of its document's strongest tie that a token's tie must have to label it.
+RIVAL = 0.4
 THRESHOLD = 0.7
 _U = np.uint64
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -179,24 +181,35 @@ def curve(x: np.ndarray, w: np.ndarray) -> np.ndarray:
 # --- training --------------------------------------------------------------------
 
 
-def token_labels(f: np.ndarray, row: np.ndarray, toxic: np.ndarray) -> np.ndarray:
-    """Which tokens are toxic: those of toxic documents with a feature that is tied to
-    toxic documents beyond chance, and hardly occurs in others."""
-    n, bad = len(toxic), int(toxic.sum())
-    labels = np.zeros(len(f), bool)
-    if not bad or bad == n:
-        return labels
-    share = bad / n
-    key = np.unique((row[:, None] * np.int64(BUCKETS) + f).ravel())  # a feature once a document
-    docs, feature = key // BUCKETS, key % BUCKETS
-    total = np.bincount(feature, minlength=BUCKETS).astype(float)
-    hits = np.bincount(feature, weights=toxic[docs].astype(float), minlength=BUCKETS)
+def tied_features(texts: list[str], toxic: np.ndarray) -> np.ndarray:
+    """How much each feature bucket speaks for toxic documents: a log likelihood ratio, 0 for
+    those that also occur in others or could be tied by chance, given how many are tested."""
+    total, hits = np.zeros(BUCKETS), np.zeros(BUCKETS)
+    for _, row, f in _sliced(texts):
+        key = np.unique((row[:, None] * np.int64(BUCKETS) + f).ravel())  # a feature once a document
+        total += np.bincount(key % BUCKETS, minlength=BUCKETS)
+        hits += np.bincount(key % BUCKETS, weights=toxic[key // BUCKETS].astype(float), minlength=BUCKETS)
+    share = toxic.mean()
     rate = hits / np.maximum(total, 1)
     with np.errstate(divide="ignore", invalid="ignore"):
         gain = hits * np.log(rate / share) + np.where(total > hits, (total - hits) * np.log((1 - rate) / (1 - share)), 0.0)
-    tied = (rate > 0.9) & (np.nan_to_num(gain, nan=0.0, posinf=0.0, neginf=0.0) > np.log(max(2, (total > 0).sum())) + 2)
-    labels[:] = tied[f].any(1) & toxic[row]
-    return labels
+    gain = np.nan_to_num(gain, nan=0.0, posinf=0.0, neginf=0.0)
+    return np.where((rate > 0.9) & (gain > np.log(max(2, (total > 0).sum())) + 2), gain, 0.0)
+
+
+def _sliced(texts: list[str]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Runs of texts with about a MB: the first one's number, and row (among all texts) and
+    features of the tokens."""
+    at = 0
+    while at < len(texts):
+        to, size = at, 0
+        while to < len(texts) and (to == at or size + len(texts[to]) <= SLICE_BYTES):
+            size += len(texts[to])
+            to += 1
+        data, ends = bytes_of(utf8(pa.array(texts[at:to], pa.large_string())))
+        starts, stops, row = tokens(data, ends)
+        yield at, row + at, features(data, starts, stops).astype(np.int32)
+        at = to
 
 
 def train(texts: list[str], toxic: np.ndarray) -> Model | None:
@@ -204,13 +217,23 @@ def train(texts: list[str], toxic: np.ndarray) -> Model | None:
     toxic = np.asarray(toxic, bool)
     if not toxic.any() or toxic.all():
         return None
-    data, ends = bytes_of(utf8(pa.array(texts, pa.large_string())))
-    starts, stops, row = tokens(data, ends)
-    f = features(data, starts, stops)
-    y = token_labels(f, row, toxic)
+    tied = tied_features(texts, toxic)
+    parts = [(row, f) for _, row, f in _sliced(texts)]
+    row, f = np.concatenate([r for r, _ in parts]), np.concatenate([x for _, x in parts])
+    del parts
+    # a token is toxic by the best of its features, unless others of its document are far
+    # better: those are words that copies of toxic documents share
+    best = tied[f[:, 0]]
+    for k in range(1, _KINDS):
+        best = np.maximum(best, tied[f[:, k]])
+    top = np.zeros(len(texts))
+    np.maximum.at(top, row, best)
+    y = toxic[row] & (best > 0) & (best >= RIVAL * top[row])
     # buckets in use, numbered anew, so that a round costs by the sample
-    used, g = np.unique(f, return_inverse=True)
-    g = g.reshape(f.shape)
+    used = np.flatnonzero(np.bincount(f.ravel(), minlength=BUCKETS))
+    number = np.zeros(BUCKETS, np.int32)
+    number[used] = np.arange(len(used), dtype=np.int32)
+    f = number[f]
     w, grad2 = np.zeros(len(used)), np.full(len(used), 1e-3)
     trans, trans2 = np.zeros((2, 2)), np.full((2, 2), 1e-3)
     begin, begin2 = -2.0, 1e-3
@@ -220,26 +243,34 @@ def train(texts: list[str], toxic: np.ndarray) -> Model | None:
     seen = np.zeros((2, 2))
     np.add.at(seen, (y[prev - 1].astype(int), y[prev].astype(int)), 1)
     size = max(1, len(row))
+
+    def scores(w: np.ndarray) -> np.ndarray:
+        out = w[f[:, 0]]
+        for k in range(1, _KINDS):
+            out = out + w[f[:, k]]
+        return out
+
     for _ in range(ROUNDS):
         a = np.exp(trans)
-        p, x, fwd, back = marginals(w[g].sum(1), row, a, float(np.exp(begin)))
+        p, x, fwd, back = marginals(scores(w), row, a, float(np.exp(begin)))
         miss = y - p
-        step = np.bincount(g.ravel(), weights=np.repeat(miss, _KINDS), minlength=len(used)) - 0.02 * w
+        step = sum(np.bincount(f[:, k], weights=miss, minlength=len(used)) for k in range(_KINDS)) - 0.02 * w
         grad2 += step**2
         w += 0.5 * step / np.sqrt(grad2)
         u = x[prev] * back[prev]
         each = np.stack([a[0, 0] * np.ones(len(prev)), a[0, 1] * u, fwd[prev - 1] * a[1, 0], fwd[prev - 1] * a[1, 1] * u])
         got = (each / each.sum(0)).sum(1).reshape(2, 2)
+        del each
         t_step = (seen - got) / size * 100 - 0.01 * trans
         trans2 += t_step**2
         trans += 0.2 * t_step / np.sqrt(trans2)
         b_step = float(miss[reset].sum()) - 0.1 * begin
         begin2 += b_step**2
         begin += 0.2 * b_step / np.sqrt(begin2)
+    a = np.exp(trans)
+    p = marginals(scores(w), row, a, float(np.exp(begin)))[0]
     weights = np.zeros(BUCKETS, np.float32)
     weights[used] = w
-    a = np.exp(trans)
-    p = marginals(weights[f].sum(1, dtype=np.float64), row, a, float(np.exp(begin)))[0]
     x = document_inputs(p, row, len(texts))
     c = np.zeros(x.shape[1])
     for _ in range(30):  # Newton steps with a small ridge
@@ -249,9 +280,9 @@ def train(texts: list[str], toxic: np.ndarray) -> Model | None:
     return Model(weights, a, float(np.exp(begin)), c)
 
 
-def learn(documents: DataFrame, labels: DataFrame, most: int = TRAIN_DOCS) -> Model | None:
+def learn(documents: DataFrame, labels: DataFrame, most: int = TRAIN_DOCS, most_bytes: int = TRAIN_BYTES) -> Model | None:
     """Train on the ``most`` labelled documents with the smallest hash among those whose
-    crc32(doc_id as text) mod 3 is not 1."""
+    crc32(doc_id as text) mod 3 is not 1, as far as they have ``most_bytes`` bytes of text."""
     key = F.col("doc_id").cast("string")
     chosen = (
         labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & (F.crc32(key) % 3 != 1))
@@ -259,9 +290,16 @@ def learn(documents: DataFrame, labels: DataFrame, most: int = TRAIN_DOCS) -> Mo
         .orderBy("__order", "doc_id", "__toxic")
         .limit(most)
     )
-    rows = documents.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "__toxic", "__order").toArrow()
-    order = np.argsort(rows.column("__order").to_numpy(), kind="stable")
-    rows = rows.take(order)
+    known = documents.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    sizes = known.select("__order", F.coalesce(F.octet_length("text"), F.lit(0)).alias("n")).toArrow()
+    if not len(sizes):
+        return None
+    order, n = sizes.column("__order").to_numpy(), sizes.column("n").to_numpy().astype(np.int64)
+    by = np.argsort(order, kind="stable")
+    fits = int(np.searchsorted(np.cumsum(n[by]), most_bytes, "right"))
+    last = int(order[by[max(0, min(fits, len(by)) - 1)]])
+    rows = known.where(F.col("__order") <= last).select("text", "__toxic", "__order").toArrow()
+    rows = rows.take(np.argsort(rows.column("__order").to_numpy(), kind="stable"))
     return train([t or "" for t in rows.column("text").to_pylist()], np.array(rows.column("__toxic").to_pylist(), bool))
 
 
@@ -272,6 +310,7 @@ def score(documents: DataFrame, model: Model | None) -> DataFrame:
     """``documents`` with ``__score`` and ``__spans`` (start and end in bytes of UTF-8, and
     the marginal, of every offending token)."""
     spark = documents.sparkSession
+    documents = keep_clear(documents, "__score", "__spans")
     shared = spark.sparkContext.broadcast(model)  # of fixed size: BUCKETS floats
     span = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType()), T.StructField("p", T.DoubleType())]))
     schema = T.StructType([*documents.schema.fields, T.StructField("__score", T.DoubleType()), T.StructField("__spans", span)])
