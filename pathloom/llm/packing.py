@@ -46,6 +46,17 @@ REMEMBERED = 500_000
 _ODD = re.compile("[\x1c-\x1f]")
 
 
+def _alphabet() -> dict[int, str]:
+    """The characters that stand for bytes in a byte-level vocabulary: printable ones for
+    themselves, the others, in order, for those from 256 on."""
+    printable = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = [b for b in range(256) if b not in printable]
+    return {b: chr(256 + k) for k, b in enumerate(others)}
+
+
+_ALPHABET = _alphabet()
+
+
 # --- tokens ----------------------------------------------------------------------
 
 
@@ -74,10 +85,6 @@ class Encoder:
         self.find = regex.compile(self._pattern).findall
         self.words: dict[str, bytes] = {}
         self.runs: dict[str, bytes] = {}
-        vocabulary = self.tokenizer.get_vocab()
-        #: Which ids end a word: every word's last id does, and no other.
-        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
-        self.ends[[i for piece, i in vocabulary.items() if piece.endswith("</w>")]] = True
 
     @classmethod
     def at(cls, path: str) -> Encoder:
@@ -93,32 +100,37 @@ class Encoder:
             return self.tokenizer.normalizer.normalize_str(text)
         return unicodedata.normalize("NFC", text).lower()
 
+    def _word(self, word: str) -> bytes:
+        """The ids of one word, by the tokenizer's merges alone: the word is normalised and
+        cut already, what is left is its bytes in the alphabet of the vocabulary."""
+        if not word.isascii():
+            word = word.encode().decode("latin-1").translate(_ALPHABET)
+        return np.array([t.id for t in self.tokenizer.model.tokenize(word)], "<u4").tobytes()
+
     def _learn(self, runs: set[str]) -> dict[str, bytes]:
-        """The ids of runs without white space; words not seen yet are encoded in one text
-        and taken apart at the ids that end a word."""
-        words = [self.find(r) for r in runs]
-        known = self.words
-        new = list({w for ws in words for w in ws if w not in known})
-        if new:
-            ids = np.array(self.tokenizer.encode(" ".join(new), add_special_tokens=False).ids, "<u4")
-            data, at = ids.tobytes(), 0
-            for w, to in zip(new, (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist(), strict=True):
-                known[w] = data[at:to]
-                at = to
-        out = {r: b"".join([known[w] for w in ws]) for r, ws in zip(runs, words, strict=True)}
-        if len(known) > REMEMBERED:
-            known.clear()
+        """The ids of runs without white space, from those of their words."""
+        known, out, new = self.words, {}, []
+        for r in runs:
+            words = self.find(r)
+            for w in words:
+                if w not in known:
+                    known[w] = self._word(w)
+                    new.append(w)
+            out[r] = known[words[0]] if len(words) == 1 else b"".join([known[w] for w in words])
+        if len(known) > REMEMBERED:  # what came first is what is frequent: that stays
+            for w in new:
+                del known[w]
         return out
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         runs = [[] if _ODD.search(t) else self._normal(t).split() for t in texts]
         known = self.runs
-        new = set().union(*runs).difference(known)
-        if len(known) + len(new) > REMEMBERED:
-            known.clear()
-            new = set().union(*runs)
-        known.update(self._learn(new))
+        new = self._learn(set().union(*runs).difference(known))
+        known.update(new)
         out = [b"".join(map(known.__getitem__, rs)) for rs in runs]
+        if len(known) > REMEMBERED:
+            for r in new:
+                del known[r]
         for i, t in enumerate(texts):
             if _ODD.search(t):  # separators that are white space to one side only
                 out[i] = np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes()
