@@ -41,8 +41,9 @@ POPULATION = 4
 #: Share of the capacity from which a bin is kept as it is.
 FULL = 0.98
 ROUNDS = 4
-#: Words whose ids a Python worker remembers, at most.
-REMEMBERED = 500_000
+#: Words, and runs without white space, whose ids a Python worker remembers, at most.
+REMEMBERED = 400_000
+REMEMBERED_RUNS = 250_000
 _ODD = re.compile("[\x1c-\x1f]")
 
 
@@ -128,7 +129,7 @@ class Encoder:
         new = self._learn(set().union(*runs).difference(known))
         known.update(new)
         out = [b"".join(map(known.__getitem__, rs)) for rs in runs]
-        if len(known) > REMEMBERED:
+        if len(known) > REMEMBERED_RUNS:
             for r in new:
                 del known[r]
         for i, t in enumerate(texts):

@@ -62,6 +62,7 @@ def test_crossover_keeps_every_document():
 
 def test_words_beyond_the_memory_are_encoded_all_the_same(monkeypatch):
     monkeypatch.setattr(packing, "REMEMBERED", 5)
+    monkeypatch.setattr(packing, "REMEMBERED_RUNS", 5)
     e = packing.Encoder(packing.tokenizer_path())
     t = Tokenizer.from_file(packing.tokenizer_path())
     t.encode_special_tokens = True
