@@ -23,6 +23,7 @@ read.
 from __future__ import annotations
 
 import heapq
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -33,14 +34,16 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialise, slices, small_or_shuffled, utf8
+from .common import drop, materialise, slices, small_or_shuffled, utf8
 
 MARK = "▁"
 #: Characters of a unit up to which it goes through the joined lattice.
 LONGEST = 128
 #: Units whose ids are broadcast, at most (some 60 bytes each).
-BROADCAST_UNITS = 200_000
-_COUNTED = 300_000
+BROADCAST_UNITS = 400_000
+_COUNTED = 200_000
+#: Runs of units whose ids a Python worker remembers.
+_REMEMBERED = 200_000
 #: Units that pieces may not cross, from fine to coarse.
 PATTERNS = (rf"{MARK}*\p{{L}}+|{MARK}*[^\p{{L}}{MARK}]+|{MARK}+", rf"{MARK}*[^{MARK}]+|{MARK}+", r"(?s).+")
 
@@ -60,8 +63,12 @@ class Model:
     units: str = ""
     longest: int = 1
     ids: dict[str, int] = field(default_factory=dict)
+    #: Places of the pieces by score, the best first, equal scores in one place.
+    rank: list[int] = field(default_factory=list)
 
     def __post_init__(self) -> None:
+        places = {s: k for k, s in enumerate(sorted(set(self.scores), reverse=True))}
+        self.rank = [places[s] for s in self.scores]
         self.ids = {self.pieces[i]: i for i in self.normal}
         self.longest = max((len(self.pieces[i]) for i in self.normal), default=1)
         self.units = next(p for p in PATTERNS if all(regex.fullmatch(p, self.pieces[i]) and len(regex.findall(p, self.pieces[i])) == 1 for i in self.normal))
@@ -89,6 +96,16 @@ class Model:
     def normalise(self, text: str) -> str:
         return ((MARK if self.prefix else "") + text.replace(" ", MARK)) if text else ""
 
+    def runs(self, text: str) -> list[str]:
+        """The normalised text cut before its word marks, where no unit goes on: a word and
+        what clings to it, or, if marks follow each other, all of it as one."""
+        if not text:
+            return []
+        if self.units == PATTERNS[-1] or MARK in text or "  " in text or text[0] == " " or text[-1] == " ":
+            return [self.normalise(text)]
+        first, *rest = text.split(" ")
+        return [(MARK if self.prefix else "") + first, *[MARK + w for w in rest]]
+
     def spell(self, c: str) -> list[int]:
         """The ids of a character that is no piece."""
         return [self.byte[b] for b in c.encode()] if self.byte else [self.unknown]
@@ -103,20 +120,50 @@ def model_path() -> str:
 # --- folding a lattice -----------------------------------------------------------
 
 
-def merge(unit: str, edges: dict[tuple[int, int], int], m: Model) -> list[int]:
+def merge(unit: str, edges: dict[int, int], m: Model) -> list[int]:
     """BPE: neighbours whose union is an edge are merged, the best score first, the
-    leftmost of equals, until no union is an edge."""
+    leftmost of equals, until no union is an edge.  ``edges``: start * 65536 + end to id for
+    units of the lattice, for longer ones start << 32 | end (see :func:`edges_of`)."""
+    n = len(unit)
+    if n > LONGEST:
+        return _merge_long(unit, edges, m)
+    rank, get, none = m.rank, edges.get, len(m.pieces)
+    cut = list(range(n + 1))  # where the parts start, and the end
+    # the rank of the union of each part and the next one
+    pairs = [none if (i := get(a << 16 | a + 2)) is None else rank[i] for a in range(n - 1)]
+    while pairs:
+        best = min(pairs)
+        if best == none:
+            break
+        k = pairs.index(best)
+        del cut[k + 1], pairs[k]
+        if k:
+            pairs[k - 1] = none if (i := get(cut[k - 1] << 16 | cut[k + 1])) is None else rank[i]
+        if k < len(pairs):
+            pairs[k] = none if (i := get(cut[k] << 16 | cut[k + 2])) is None else rank[i]
+    out = []
+    for a, b in zip(cut, cut[1:]):  # noqa: B905
+        i = get(a << 16 | b)
+        if i is not None:
+            out.append(i)
+        else:
+            out += m.spell(unit[a:b])
+    return out
+
+
+def _merge_long(unit: str, edges: dict[int, int], m: Model) -> list[int]:
+    """The same with a heap of candidates, for units of any length."""
     n = len(unit)
     after, before = list(range(1, n + 1)), list(range(-1, n - 1))
     end = list(range(1, n + 1))
-    heap: list[tuple[float, int, int, int]] = []
+    heap: list[tuple[int, int, int, int]] = []
 
     def offer(a: int) -> None:
         b = after[a]
         if b < n:
-            i = edges.get((a, end[b]))
+            i = edges.get(a << 32 | end[b])
             if i is not None:
-                heapq.heappush(heap, (-m.scores[i], a, b, end[b]))
+                heapq.heappush(heap, (m.rank[i], a, b, end[b]))
 
     for a in range(n - 1):
         offer(a)
@@ -133,7 +180,7 @@ def merge(unit: str, edges: dict[tuple[int, int], int], m: Model) -> list[int]:
         offer(a)
     out, at = [], 0
     while at < n:
-        i = edges.get((at, end[at]))
+        i = edges.get(at << 32 | end[at])
         if i is not None:
             out.append(i)
         else:
@@ -142,10 +189,11 @@ def merge(unit: str, edges: dict[tuple[int, int], int], m: Model) -> list[int]:
     return out
 
 
-def edges_of(unit: str, m: Model) -> dict[tuple[int, int], int]:
+def edges_of(unit: str, m: Model) -> dict[int, int]:
     """The lattice of one unit, made in place."""
     n, ids = len(unit), m.ids
-    return {(s, e): ids[unit[s:e]] for s in range(n) for e in range(s + 1, min(n, s + m.longest) + 1) if unit[s:e] in ids}
+    shift = 16 if n <= LONGEST else 32
+    return {s << shift | e: ids[unit[s:e]] for s in range(n) for e in range(s + 1, min(n, s + m.longest) + 1) if unit[s:e] in ids}
 
 
 def viterbi(unit: Column, edges: Column, least: float, unknown: int) -> Column:
@@ -181,19 +229,21 @@ def count_units(documents: DataFrame, m: Model) -> DataFrame:
     shared = documents.sparkSession.sparkContext.broadcast(m)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from collections import Counter
-
         m = shared.value
         find = regex.compile(m.units).findall
         held: Counter[str] = Counter()
 
         def give() -> pa.RecordBatch:
-            fine = {u: k for u, k in held.items() if len(u) <= LONGEST}
-            return pa.RecordBatch.from_arrays([pa.array(list(fine), pa.string()), pa.array(list(fine.values()), pa.int64())], names=["unit", "n"])
+            units: Counter[str] = Counter()
+            for run, k in held.items():
+                for u in find(run):
+                    if len(u) <= LONGEST:
+                        units[u] += k
+            return pa.RecordBatch.from_arrays([pa.array(list(units), pa.string()), pa.array(list(units.values()), pa.int64())], names=["unit", "n"])
 
         for b in slices(batches):
             for t in utf8(b.column(0)).to_pylist():
-                held.update(find(m.normalise(t)))
+                held.update(m.runs(t))
             if len(held) > _COUNTED:  # counts are sums: a part of them can go on at any time
                 yield give()
                 held.clear()
@@ -207,8 +257,18 @@ def piece_table(spark: SparkSession, m: Model) -> DataFrame:
     return spark.createDataFrame(rows, "piece string, id int, score double")
 
 
+#: Units in a partition while their edges are grouped, and the groups that an aggregation
+#: holds in memory for that before it sorts (and spills) all edges.
+PART_UNITS = 20_000
+_IN_MEMORY = "spark.sql.objectHashAggregate.sortBased.fallbackThreshold"
+
+
 def lattice(units: DataFrame, m: Model) -> DataFrame:
-    """unit, n and ``edges`` (structs of e, s, id, score) of every unit."""
+    """unit, n and ``edges`` of every unit that has any: whole numbers that hold start, end and
+    id (16, 16 and 32 bits), for a unigram model structs of e, s, id and score.
+
+    Units are dealt by hash; exploding, the broadcast join with the piece table and the
+    grouping all happen where they are."""
     spark = units.sparkSession
     size = F.length("unit")
     spans = units.select("unit", "n", F.explode(F.sequence(F.lit(0), size - 1)).alias("s")).select(
@@ -216,37 +276,43 @@ def lattice(units: DataFrame, m: Model) -> DataFrame:
     )
     parts = spans.withColumn("piece", F.substr("unit", F.col("s") + 1, F.col("l")))
     table = small_or_shuffled(piece_table(spark, m), len(m.normal))
-    found = parts.join(table, "piece", "left")
-    edge = F.when(F.col("id").isNotNull(), F.struct((F.col("s") + F.col("l")).alias("e"), "s", "id", "score"))
+    found = parts.join(table, "piece")
+    end = F.col("s") + F.col("l")
+    if m.bpe:
+        # start * 65536 + end in the upper half, the id in the lower
+        edge = F.shiftleft(F.col("s").cast("long"), 48).bitwiseOR(F.shiftleft(end.cast("long"), 32)).bitwiseOR(F.col("id").cast("long"))
+    else:
+        edge = F.struct(end.alias("e"), "s", "id", "score")
     return found.groupBy("unit").agg(F.first("n").alias("n"), F.collect_list(edge).alias("edges"))
 
 
 def encode_units(units: DataFrame, m: Model) -> DataFrame:
-    """unit, n and ``ids`` (little-endian unsigned 32-bit) of every unit."""
-    grouped = lattice(units, m)
+    """unit, n and ``ids`` (little-endian unsigned 32-bit) of every unit with an edge."""
+    spark = units.sparkSession
+    grouped = lattice(units.repartition(max(2, -(-units.count() // PART_UNITS)), "unit"), m)
     if not m.bpe:
         ids = viterbi(F.col("unit"), F.col("edges"), min(m.scores[i] for i in m.normal), m.unknown)
         grouped = grouped.select("unit", "n", ids.alias("ids"))
-        shape = "ids"
-    else:
-        packed = F.transform("edges", lambda x: F.shiftleft(x["s"].cast("long"), 48).bitwiseOR(F.shiftleft(x["e"].cast("long"), 32)).bitwiseOR(x["id"].cast("long")))
-        grouped = grouped.select("unit", "n", packed.alias("edges"))
-        shape = "edges"
-    shared = units.sparkSession.sparkContext.broadcast(m)
+    shared = spark.sparkContext.broadcast(m)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for b in batches:
             out = []
             for unit, got in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), strict=True):
-                if shape == "edges":
-                    got = merge(unit, {(x >> 48, x >> 32 & 0xFFFF): x & 0xFFFFFFFF for x in got}, m)
+                if m.bpe:
+                    got = merge(unit, {x >> 32: x & 0xFFFFFFFF for x in got}, m)
                 elif m.byte and m.unknown in got:
                     got = _spelt(unit, got, m)
                 out.append(np.array(got, "<u4").tobytes())
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.binary())], names=["unit", "n", "ids"])
 
-    return grouped.mapInArrow(work, "unit string, n long, ids binary")
+    before = spark.conf.get(_IN_MEMORY)
+    spark.conf.set(_IN_MEMORY, str(50 * PART_UNITS))
+    try:
+        return materialise(grouped.mapInArrow(work, "unit string, n long, ids binary"), "pieces-units")
+    finally:
+        spark.conf.set(_IN_MEMORY, before)
 
 
 def _spelt(unit: str, ids: list[int], m: Model) -> list[int]:
@@ -269,7 +335,9 @@ def encode(documents: DataFrame, path: str | None = None, broadcast_units: int =
     spark = documents.sparkSession
     sc = spark.sparkContext
     m = Model.read(path or model_path())
-    known = materialise(encode_units(count_units(documents, m), m), "pieces-units")
+    counts = materialise(count_units(documents, m), "pieces-counts")
+    known = encode_units(counts, m)
+    drop(counts)
     # the most frequent units, a fixed number of them
     top = known.orderBy(F.desc("n"), "unit").limit(broadcast_units).select("unit", "ids").toArrow()
     often = sc.broadcast(dict(zip(top.column(0).to_pylist(), top.column(1).to_pylist(), strict=True)))
@@ -282,21 +350,38 @@ def encode(documents: DataFrame, path: str | None = None, broadcast_units: int =
         m, table = shared.value, often.value
         find = regex.compile(m.units).findall
         pack = zstandard.ZstdCompressor(level=1).compress
+        seen: dict[str, tuple[bytes, tuple[int, ...], tuple[str, ...]]] = {}
+
+        def of(run: str) -> tuple[bytes, tuple[int, ...], tuple[str, ...]]:
+            """A run's ids, and where in them which units are to be joined."""
+            parts, at, where, which = [], 0, [], []
+            for u in find(run):
+                got = table.get(u)
+                if got is None:
+                    if len(u) <= LONGEST:
+                        where.append(at)
+                        which.append(u)
+                        continue
+                    got = np.array(merge(u, edges_of(u, m), m), "<u4").tobytes() if m.bpe else _plain_viterbi(u, m)
+                parts.append(got)
+                at += len(got)
+            return b"".join(parts), tuple(where), tuple(which)
+
         for b in slices(batches):
             ids, holes, units = [], [], []
             for t in utf8(b.column(2)).to_pylist():
                 parts, at, where, which = [], 0, [], []
-                for u in find(m.normalise(t)):
-                    got = table.get(u)
+                for run in m.runs(t):
+                    got = seen.get(run)
                     if got is None:
-                        if len(u) > LONGEST:
-                            got = np.array(merge(u, edges_of(u, m), m), "<u4").tobytes() if m.bpe else _plain_viterbi(u, m)
-                        else:
-                            where.append(at)
-                            which.append(u)
-                            continue
-                    parts.append(got)
-                    at += len(got)
+                        got = of(run)
+                        if len(run) <= LONGEST and len(seen) < _REMEMBERED:
+                            seen[run] = got
+                    parts.append(got[0])
+                    if got[1]:
+                        where += [at + w for w in got[1]]
+                        which += got[2]
+                    at += len(got[0])
                 data = np.frombuffer(b"".join(parts), "<u4")
                 ids.append(pack(data.astype("<u2").tobytes() if len(m.pieces) < 65536 else data.tobytes()))
                 holes.append(where)
@@ -307,7 +392,9 @@ def encode(documents: DataFrame, path: str | None = None, broadcast_units: int =
     coded = materialise(keyed.mapInArrow(code, "rid long, doc_id long, coded binary, holes array<long>, units array<string>"), "pieces-coded")
     # a rare unit once per text, however often it stands there
     asked = coded.where(F.size("units") > 0).dropDuplicates(["rid"]).select("rid", F.explode(F.array_distinct("units")).alias("unit"))
-    answers = asked.join(rest, "unit").groupBy("rid").agg(F.collect_list(F.struct("unit", "ids")).alias("answers"))
+    # a unit without any edge has no row there: all its characters are spelt
+    answers = asked.join(rest, "unit", "left").groupBy("rid").agg(F.collect_list(F.struct("unit", "ids")).alias("x"))
+    answers = answers.select("rid", F.col("x.unit").alias("known"), F.col("x.ids").alias("answers"))
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
@@ -315,10 +402,10 @@ def encode(documents: DataFrame, path: str | None = None, broadcast_units: int =
         wide = "<u2" if len(m.pieces) < 65536 else "<u4"
         for b in batches:
             out = []
-            for data, holes, units, got in zip(*[b.column(i).to_pylist() for i in (1, 2, 3, 4)], strict=True):
+            for data, holes, units, known, got in zip(*[b.column(i).to_pylist() for i in (1, 2, 3, 4, 5)], strict=True):
                 data = np.frombuffer(unpack(data), wide).astype("<u4").tobytes()
                 if holes:
-                    got = {x["unit"]: x["ids"] for x in got}
+                    got = {u: x if x is not None else np.array([i for c in u for i in m.spell(c)], "<u4").tobytes() for u, x in zip(known, got, strict=True)}
                     parts, at = [], 0
                     for h, u in zip(holes, units, strict=True):
                         parts += [data[at:h], got[u]]
@@ -327,8 +414,8 @@ def encode(documents: DataFrame, path: str | None = None, broadcast_units: int =
                 out.append(data)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.binary())], names=["doc_id", "ids"])
 
-    joined = coded.where(F.size("holes") > 0).join(answers, "rid").select("doc_id", "coded", "holes", "units", "answers")
-    whole = coded.where(F.size("holes") == 0).select("doc_id", "coded", "holes", "units", F.lit(None).cast("array<struct<unit:string,ids:binary>>").alias("answers"))
+    joined = coded.where(F.size("holes") > 0).join(answers, "rid").select("doc_id", "coded", "holes", "units", "known", "answers")
+    whole = coded.where(F.size("holes") == 0).select("doc_id", "coded", "holes", "units", F.lit(None).cast("array<string>").alias("known"), F.lit(None).cast("array<binary>").alias("answers"))
     return joined.unionByName(whole).mapInArrow(fill, "doc_id long, ids binary")
 
 
