@@ -9,7 +9,8 @@ marginals give offending spans; a logistic curve over the marginals of a documen
 on the same documents, gives its score.
 
 Training takes a bounded sample, the ``TRAIN_DOCS`` labelled documents with the smallest
-hash of their doc_id, so it costs the same at any size; scoring covers every whole text.
+hash of their doc_id (see :func:`chosen` for long texts and rare labels), so it costs the
+same at any size; scoring covers every whole text.
 Labels, lang, source and doc_id are no input of a score.
 
 Defined results: a null text becomes empty, an empty one has no tokens and gets the score
@@ -33,8 +34,12 @@ from pyspark.sql import types as T
 from .common import SLICE_BYTES, bytes_of, keep_clear, mix, powers, slices, utf8
 
 #: Labelled documents that the model is trained on, and bytes of their texts, at most.
-TRAIN_DOCS = 2400
-TRAIN_BYTES = 8 << 20
+TRAIN_DOCS = 3000
+TRAIN_BYTES = 12 << 20
+#: Documents of each label that come first, and the share of the bytes from which a text
+#: waits until the shorter ones are in.
+EACH_LABEL = 100
+LONG = 1 / 32
 #: Feature buckets, training rounds and the marginal from which a token offends.
 BUCKETS = 1 << 20
 ROUNDS = 25
@@ -185,8 +190,8 @@ def tied_features(texts: list[str], toxic: np.ndarray) -> np.ndarray:
     """How much each feature bucket speaks for toxic documents: a log likelihood ratio, 0 for
     those that also occur in others or could be tied by chance, given how many are tested."""
     total, hits = np.zeros(BUCKETS), np.zeros(BUCKETS)
-    for _, row, f in _sliced(texts):
-        key = np.unique((row[:, None] * np.int64(BUCKETS) + f).ravel())  # a feature once a document
+    for at, _, row, f in _sliced(texts):
+        key = np.unique(((row + at)[:, None] * np.int64(BUCKETS) + f).ravel())  # a feature once a document
         total += np.bincount(key % BUCKETS, minlength=BUCKETS)
         hits += np.bincount(key % BUCKETS, weights=toxic[key // BUCKETS].astype(float), minlength=BUCKETS)
     share = toxic.mean()
@@ -197,9 +202,9 @@ def tied_features(texts: list[str], toxic: np.ndarray) -> np.ndarray:
     return np.where((rate > 0.9) & (gain > np.log(max(2, (total > 0).sum())) + 2), gain, 0.0)
 
 
-def _sliced(texts: list[str]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """Runs of texts with about a MB: the first one's number, and row (among all texts) and
-    features of the tokens."""
+def _sliced(texts: list[str]) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """Runs of texts with about a MB: the numbers of the first one and of the one after the
+    last, and row (in the run) and features of the tokens."""
     at = 0
     while at < len(texts):
         to, size = at, 0
@@ -208,7 +213,7 @@ def _sliced(texts: list[str]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
             to += 1
         data, ends = bytes_of(utf8(pa.array(texts[at:to], pa.large_string())))
         starts, stops, row = tokens(data, ends)
-        yield at, row + at, features(data, starts, stops).astype(np.int32)
+        yield at, to, row, features(data, starts, stops).astype(np.int32)
         at = to
 
 
@@ -218,33 +223,33 @@ def train(texts: list[str], toxic: np.ndarray) -> Model | None:
     if not toxic.any() or toxic.all():
         return None
     tied = tied_features(texts, toxic)
-    parts = [(row, f) for _, row, f in _sliced(texts)]
-    row, f = np.concatenate([r for r, _ in parts]), np.concatenate([x for _, x in parts])
-    del parts
     # a token is toxic by the best of its features, unless others of its document are far
     # better: those are words that copies of toxic documents share
-    best = tied[f[:, 0]]
-    for k in range(1, _KINDS):
-        best = np.maximum(best, tied[f[:, k]])
-    top = np.zeros(len(texts))
-    np.maximum.at(top, row, best)
-    y = toxic[row] & (best > 0) & (best >= RIVAL * top[row])
+    parts, used = [], np.zeros(BUCKETS, bool)
+    seen = np.zeros((2, 2))
+    for at, to, row, f in _sliced(texts):
+        best = tied[f].max(1, initial=0.0)
+        top = np.zeros(to - at)
+        np.maximum.at(top, row, best)
+        y = toxic[at:to][row] & (best > 0) & (best >= RIVAL * top[row])
+        used[f.ravel()] = True
+        reset = np.ones(len(row), bool)
+        reset[1:] = row[1:] != row[:-1]
+        prev = np.flatnonzero(~reset)
+        np.add.at(seen, (y[prev - 1].astype(int), y[prev].astype(int)), 1)
+        parts.append((to - at, row, f, y, reset))
     # buckets in use, numbered anew, so that a round costs by the sample
-    used = np.flatnonzero(np.bincount(f.ravel(), minlength=BUCKETS))
+    used = np.flatnonzero(used)
     number = np.zeros(BUCKETS, np.int32)
     number[used] = np.arange(len(used), dtype=np.int32)
-    f = number[f]
+    for _, _, f, _, _ in parts:
+        f[:] = number[f]
     w, grad2 = np.zeros(len(used)), np.full(len(used), 1e-3)
     trans, trans2 = np.zeros((2, 2)), np.full((2, 2), 1e-3)
     begin, begin2 = -2.0, 1e-3
-    reset = np.ones(len(row), bool)
-    reset[1:] = row[1:] != row[:-1]
-    prev = np.flatnonzero(~reset)
-    seen = np.zeros((2, 2))
-    np.add.at(seen, (y[prev - 1].astype(int), y[prev].astype(int)), 1)
-    size = max(1, len(row))
+    size = max(1, sum(len(row) for _, row, _, _, _ in parts))
 
-    def scores(w: np.ndarray) -> np.ndarray:
+    def scores(w: np.ndarray, f: np.ndarray) -> np.ndarray:
         out = w[f[:, 0]]
         for k in range(1, _KINDS):
             out = out + w[f[:, k]]
@@ -252,26 +257,30 @@ def train(texts: list[str], toxic: np.ndarray) -> Model | None:
 
     for _ in range(ROUNDS):
         a = np.exp(trans)
-        p, x, fwd, back = marginals(scores(w), row, a, float(np.exp(begin)))
-        miss = y - p
-        step = sum(np.bincount(f[:, k], weights=miss, minlength=len(used)) for k in range(_KINDS)) - 0.02 * w
+        # documents are chains of their own, so a round adds up what each run of them gives
+        step, got, first = -0.02 * w, np.zeros((2, 2)), 0.0
+        for _, row, f, y, reset in parts:
+            p, x, fwd, back = marginals(scores(w, f), row, a, float(np.exp(begin)))
+            miss = y - p
+            for k in range(_KINDS):
+                step += np.bincount(f[:, k], weights=miss, minlength=len(used))
+            prev = np.flatnonzero(~reset)
+            u = x[prev] * back[prev]
+            each = np.stack([a[0, 0] * np.ones(len(prev)), a[0, 1] * u, fwd[prev - 1] * a[1, 0], fwd[prev - 1] * a[1, 1] * u])
+            got += (each / each.sum(0)).sum(1).reshape(2, 2)
+            first += float(miss[reset].sum())
         grad2 += step**2
         w += 0.5 * step / np.sqrt(grad2)
-        u = x[prev] * back[prev]
-        each = np.stack([a[0, 0] * np.ones(len(prev)), a[0, 1] * u, fwd[prev - 1] * a[1, 0], fwd[prev - 1] * a[1, 1] * u])
-        got = (each / each.sum(0)).sum(1).reshape(2, 2)
-        del each
         t_step = (seen - got) / size * 100 - 0.01 * trans
         trans2 += t_step**2
         trans += 0.2 * t_step / np.sqrt(trans2)
-        b_step = float(miss[reset].sum()) - 0.1 * begin
+        b_step = first - 0.1 * begin
         begin2 += b_step**2
         begin += 0.2 * b_step / np.sqrt(begin2)
     a = np.exp(trans)
-    p = marginals(scores(w), row, a, float(np.exp(begin)))[0]
     weights = np.zeros(BUCKETS, np.float32)
     weights[used] = w
-    x = document_inputs(p, row, len(texts))
+    x = np.concatenate([document_inputs(marginals(scores(w, f), row, a, float(np.exp(begin)))[0], row, n) for n, row, f, _, _ in parts])
     c = np.zeros(x.shape[1])
     for _ in range(30):  # Newton steps with a small ridge
         s = curve(x, c)
@@ -280,27 +289,48 @@ def train(texts: list[str], toxic: np.ndarray) -> Model | None:
     return Model(weights, a, float(np.exp(begin)), c)
 
 
+def chosen(n: np.ndarray, toxic: np.ndarray, most: int, most_bytes: int) -> np.ndarray:
+    """Which of the labelled texts, of ``n`` bytes in the order of their hash, are trained on:
+    the first ones of each label (a quarter of the bytes at most), then any.  A text that does
+    not fit is passed over, and one of more than ``LONG`` of the bytes waits for the others."""
+    take = np.zeros(len(n), bool)
+    order = np.argsort(n > LONG * most_bytes, kind="stable").tolist()
+    each = min(EACH_LABEL, most // 2)
+
+    def fill(rows: list[int], docs: int, room: int) -> None:
+        for i in rows:
+            if docs > 0 and not take[i] and n[i] <= room:
+                take[i] = True
+                docs, room = docs - 1, room - int(n[i])
+
+    for kind in (False, True):
+        fill([i for i in order if toxic[i] == kind], each, most_bytes // 4)
+    fill(order, most - int(take.sum()), most_bytes - int(n[take].sum()))
+    return np.flatnonzero(take)
+
+
 def learn(documents: DataFrame, labels: DataFrame, most: int = TRAIN_DOCS, most_bytes: int = TRAIN_BYTES) -> Model | None:
     """Train on the ``most`` labelled documents with the smallest hash among those whose
     crc32(doc_id as text) mod 3 is not 1, as far as they have ``most_bytes`` bytes of text."""
     key = F.col("doc_id").cast("string")
-    chosen = (
-        labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & (F.crc32(key) % 3 != 1))
-        .select("doc_id", (F.col("toxic") == 1).alias("__toxic"), F.xxhash64(F.concat(F.lit("train"), key)).alias("__order"))
-        .orderBy("__order", "doc_id", "__toxic")
-        .limit(most)
+    marked = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & (F.crc32(key) % 3 != 1)).select(
+        "doc_id", (F.col("toxic") == 1).alias("__toxic"), F.xxhash64(F.concat(F.lit("train"), key)).alias("__order")
     )
-    known = documents.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
-    sizes = known.select("__order", F.coalesce(F.octet_length("text"), F.lit(0)).alias("n")).toArrow()
-    if not len(sizes):
+    text = F.coalesce("text", F.lit("")).alias("text")
+    sized = documents.select("doc_id", text).withColumn("__n", F.octet_length("text")).withColumn("__hash", F.xxhash64("text"))
+    known = sized.where(F.col("__n") <= most_bytes).drop("text").join(marked, "doc_id")
+    by = [F.col("__n") > LONG * most_bytes, "__order", "doc_id", "__n", "__hash"]
+    first = [known.where(F.col("__toxic") == kind).orderBy(*by).limit(most) for kind in (False, True)]
+    rows = first[0].unionByName(first[1]).toPandas().sort_values(["__order", "doc_id", "__n", "__hash", "__toxic"], kind="stable")
+    rows = rows.iloc[chosen(rows["__n"].to_numpy(np.int64), rows["__toxic"].to_numpy(bool), most, most_bytes)]
+    if not len(rows):
         return None
-    order, n = sizes.column("__order").to_numpy(), sizes.column("n").to_numpy().astype(np.int64)
-    by = np.argsort(order, kind="stable")
-    fits = int(np.searchsorted(np.cumsum(n[by]), most_bytes, "right"))
-    last = int(order[by[max(0, min(fits, len(by)) - 1)]])
-    rows = known.where(F.col("__order") <= last).select("text", "__toxic", "__order").toArrow()
-    rows = rows.take(np.argsort(rows.column("__order").to_numpy(), kind="stable"))
-    return train([t or "" for t in rows.column("text").to_pylist()], np.array(rows.column("__toxic").to_pylist(), bool))
+    same = ["doc_id", "__n", "__hash"]
+    wanted = documents.sparkSession.createDataFrame(rows[same].drop_duplicates(), known.select(*same).schema)
+    # rows with the same doc_id and text are one text here, learned from as often as chosen
+    found = sized.join(F.broadcast(wanted), same).dropDuplicates(same).toArrow()
+    texts = dict(zip(zip(*[found.column(c).to_pylist() for c in same], strict=True), found.column("text").to_pylist(), strict=True))
+    return train([texts[k] for k in zip(*[rows[c].tolist() for c in same], strict=True)], rows["__toxic"].to_numpy(bool))
 
 
 # --- scoring ---------------------------------------------------------------------

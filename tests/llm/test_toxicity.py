@@ -81,3 +81,24 @@ def test_a_score_doesn_t_depend_on_what_stands_beside():
 
     texts = [t for _, t, _ in corpus(20, 5)] + ["", "one"]
     assert scores(texts) == pytest.approx(np.concatenate([scores([t]) for t in texts]))
+
+
+def test_texts_that_do_not_fit_are_passed_over(spark):
+    rows = corpus(900, 1)
+    # the ids whose hash comes first, with texts of over the whole bound and of most of it
+    first = spark.range(1000, 3000).where("crc32(string(id)) % 3 <> 1").orderBy("id").selectExpr("id", "xxhash64(concat('train', string(id))) AS h").orderBy("h").limit(2).collect()
+    rows += [(r.id, "long text " * n, 0) for r, n in zip(first, (60_000, 45_000), strict=True)]
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string").repartition(3)
+    labels = spark.createDataFrame([(i, b) for i, _, b in rows], "doc_id long, toxic int")
+    model = toxicity.learn(docs, labels, most_bytes=500_000)
+    new = spark.createDataFrame(corpus(300, 2), "doc_id long, text string, toxic int")
+    assert np.mean([(r["__score"] >= toxicity.THRESHOLD) == r.toxic for r in toxicity.score(new, model).collect()]) > 0.97
+
+
+def test_the_sample_goes_down_the_hash_order():
+    pick = lambda n, toxic, *bounds: toxicity.chosen(np.array(n), np.array(toxic, bool), *bounds).tolist()
+    clean = [0] * 400
+    assert pick([10] * 400, [*clean[:-1], 1], 300, 1 << 20) == [*range(299), 399]
+    assert pick([2000, *[10] * 399], clean, 500, 1000) == list(range(1, 101))
+    assert pick([900, *[1] * 399], clean, 500, 1000) == list(range(1, 400))
+    assert pick([1] * 400, clean, 400, 1000) == list(range(400))
