@@ -4,7 +4,7 @@ and read again as the next one's documents.
 All stages but the last return the columns of documents (``n_chars`` follows ``text``):
 
 1. toxicity: documents scored as toxic go;
-2. lines: boilerplate lines go out of the texts;
+2. lines: boilerplate lines go out of the texts that have others;
 3. near_dups: of each class of near-duplicates the document with the smallest id stays;
 4. repeats: byte strings that repeat go out of the texts (halves of cut characters too);
 5. packing: the texts are packed into sequences of tokens.
@@ -26,7 +26,7 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def lines_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _counted(original(lines.remove_boilerplate(docs), docs.columns))
+    return _counted(original(lines.remove_boilerplate(docs, most_removed=None), docs.columns))
 
 
 def near_dups_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -7,6 +7,8 @@ the threshold by more than the sketch's error settles a line; the lines in betwe
 exact distinct counts.  Boilerplate lines are then taken out of the documents, unless
 they make up more than ``most_removed`` of a document's characters: such a document is
 a copy of something widespread rather than a carrier of boilerplate, and is left whole.
+With ``most_removed`` None, as in the pipeline, they go from every document that keeps a
+line of its own, however short; only documents of nothing but boilerplate are left whole.
 
 Defined results: a null text is empty; a null source is no site; blank lines (of spaces
 or nothing) are never boilerplate; rows that repeat are treated alike; a row with a null
@@ -72,9 +74,9 @@ def boilerplate(documents: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
     return materialise(sure.unionByName(exact), "lines-boilerplate")
 
 
-def remove_boilerplate(documents: DataFrame, min_sites: int = MIN_SITES, most_removed: float = MOST_REMOVED) -> DataFrame:
+def remove_boilerplate(documents: DataFrame, min_sites: int = MIN_SITES, most_removed: float | None = MOST_REMOVED) -> DataFrame:
     """``documents`` with ``text`` without its boilerplate lines, and ``__n_lines`` and
-    ``__n_removed``."""
+    ``__n_removed``.  ``most_removed`` None: from all that keep a line that is not blank."""
     documents = keep_clear(documents, "__at", "__hits", "__n_lines", "__n_removed")
     common = boilerplate(documents, min_sites)
     hits = (
@@ -102,7 +104,8 @@ def remove_boilerplate(documents: DataFrame, min_sites: int = MIN_SITES, most_re
         lines,
         lambda line, i: ~(F.array_contains(places, i) & F.exists(F.col("__hits"), lambda h: (h["__at"] == i) & (h["line_id"] == line_hash(line)))),
     )
-    cut = F.col("__hits").isNotNull() & (share <= most_removed)
+    carries = F.exists(kept, lambda line: F.trim(line) != "") if most_removed is None else share <= most_removed
+    cut = F.col("__hits").isNotNull() & carries
     return joined.select(
         *[F.when(cut, F.array_join(kept, "\n")).otherwise(F.col("text")).alias("text") if c == "text" else F.col(c) for c in documents.columns],
         F.size(lines).cast("long").alias("__n_lines"),

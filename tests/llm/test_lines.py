@@ -44,3 +44,13 @@ def test_counts_far_from_the_threshold_are_sketched_well(spark):
     many = spark.range(0, 3000).selectExpr("id AS doc_id", "concat('s', id) AS source", "concat('wide\nown ', id, if(id < 40, '\nnear', '')) AS text")
     assert lines.boilerplate(many, 41).count() == 1
     assert lines.boilerplate(many, 40).count() == 2
+
+
+def test_short_pages_of_much_boilerplate_lose_it_in_the_pipeline(spark):
+    import corpus_pipeline
+
+    wide = "This long line stands on every site\nand this one does as well"
+    data = [(i, f"s{i}", f"{wide}\nown {i}") for i in range(12)] + [(20, "s1", wide), (21, "s2", f"{wide}\n \n")]
+    df = spark.createDataFrame(data, "doc_id long, source string, text string")
+    got = {r.doc_id: r.text for r in corpus_pipeline.lines_stage(spark, df, "").collect()}
+    assert got == {**{i: f"own {i}" for i in range(12)}, 20: wide, 21: f"{wide}\n \n"}
