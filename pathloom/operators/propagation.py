@@ -9,12 +9,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.stats import midrank_quantile
-from ..runtime import drop, materialise
+from ..runtime import drop, materialise, small_or_shuffled
 
 
 def pagerank(edges: DataFrame, vertices: DataFrame, resets: DataFrame, damping: float = 0.85, iterations: int = 60, tolerance: float = 1e-10, directed: bool = True) -> DataFrame:
     """run, name, value.  ``resets`` (run, name, value) holds the positive reset weights of any
-    number of runs; they are normalised per run.  Mass at vertices without edges out goes
+    number of runs; they are normalised per run.  Every run has a row for every vertex.  Mass at vertices without edges out goes
     back by the reset weights.
 
     Each round is one join of the values to the edges and one aggregation by (run, vertex),
@@ -45,7 +45,8 @@ def pagerank(edges: DataFrame, vertices: DataFrame, resets: DataFrame, damping:
             drop(p)
             p = nxt
     runs = reset.select("run").distinct()
-    every = runs.withColumn("k", F.lit(1)).join(F.broadcast(vertices.select("name").distinct().agg(F.collect_list("name").alias("names")).withColumn("k", F.lit(1))), "k").select("run", F.explode("names").alias("name")) if vertices.count() <= 100_000 else reset.select("run", "name")
+    # the runs go to the vertices where they lie, whatever their number
+    every = vertices.select("name").distinct().crossJoin(small_or_shuffled(runs))
     return every.join(p, ["run", "name"], "left").select("run", "name", F.coalesce("value", F.lit(0.0)).alias("value"))
 
 

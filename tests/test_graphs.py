@@ -132,3 +132,11 @@ def test_cascade_and_compartments(spark, rows):
 def test_greedy_cover(spark, rows):
     m = spark.createDataFrame([("p", i) for i in range(5)] + [("q", i) for i in range(3, 9)] + [("r", 0)], "g string, m int")
     assert rows(summaries.set_cover(m, "g", "m", 2)) == [(0, "q", 6), (1, "p", 3)]
+
+
+def test_pagerank_has_all_vertices_of_a_large_network(spark):
+    v = spark.range(100_001).selectExpr("string(id) AS name")
+    resets = spark.createDataFrame([("x", "0", 1.0)], "run string, name string, value double")
+    out = propagation.pagerank(edges(spark, [("0", "1"), ("1", "2")]), v, resets, iterations=2, tolerance=0.0)
+    assert out.count() == 100_001
+    assert sorted(r.name for r in out.where("value > 0").collect()) == ["0", "1", "2"]
