@@ -5,6 +5,8 @@ shared folder, so that lineage stays short and a lost executor costs one round."
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -41,9 +43,9 @@ def largest_components(edges: DataFrame, k: int = 1) -> DataFrame:
     return components(edges).groupBy("component").agg(F.count(F.lit(1)).alias("size")).orderBy(F.desc("size"), "component").limit(k)
 
 
-def distances(edges: DataFrame, sources: DataFrame | None = None, weight: str | None = None, max_steps: int = 10, src: str = "src", dst: str = "dst") -> DataFrame:
-    """origin, dest, distance of the shortest paths of at most ``max_steps`` edges; a weight
-    column, or one a step without.  Self-pairs are left out.
+def distances(edges: DataFrame, sources: DataFrame | None = None, weight: str | None = None, max_steps: int | None = 10, src: str = "src", dst: str = "dst") -> DataFrame:
+    """origin, dest, distance of the shortest paths of at most ``max_steps`` edges (None: of any
+    number); a weight column, or one a step without.  Self-pairs are left out.
 
     Frontier relaxation: a round joins only the pairs that got shorter in the last one to the
     edges, so its work is that of the pairs still changing.  A pair is kept once, at its
@@ -53,22 +55,32 @@ def distances(edges: DataFrame, sources: DataFrame | None = None, weight: str |
     starts = sources.select(F.col("name").alias("u")).distinct() if sources is not None else None
     first = e.join(starts, "u", "left_semi") if starts is not None else e
     known = materialise(first.where("u <> v").select(F.col("u").alias("origin"), F.col("v").alias("dest"), F.col("w").alias("distance")), "distances")
-    frontier = known
-    for _ in range(1, max_steps):
+    frontier = state = known
+    if max_steps is None:  # a shortest path passes a vertex once, unless a cycle gets shorter with every turn
+        most = max(2, e.select("u").union(e.select("v")).distinct().count() + 1)
+    else:
+        most = max_steps
+    for _ in range(1, most):
         step = frontier.join(e, F.col("dest") == F.col("u")).where("origin <> v").groupBy("origin", F.col("v").alias("dest")).agg(F.min(F.col("distance") + F.col("w")).alias("new"))
         merged = known.join(step, ["origin", "dest"], "full")
         merged = merged.select("origin", "dest", F.least("distance", "new").alias("distance"), (F.col("distance").isNull() | (F.col("new") < F.col("distance") - 1e-12)).alias("changed"))
         both = materialise(merged, "distances")
         frontier = both.where("changed").select("origin", "dest", "distance")
         known = both.select("origin", "dest", "distance")
+        drop(state)
+        state = both
         if frontier.isEmpty():
             break
+    else:
+        if max_steps is None and not frontier.isEmpty():
+            raise ValueError("a cycle of negative weight has no shortest path")
     return known
 
 
-def hop_and_weight(edges: DataFrame, weights: list[str], max_steps: int = -1, sources: DataFrame | None = None, limit: int = 50) -> DataFrame:
+def hop_and_weight(edges: DataFrame, weights: list[str], max_steps: int = -1, sources: DataFrame | None = None, limit: int | None = None) -> DataFrame:
     """sc_id_origin, sc_id_dest, path_length and a shortest weighted distance for each weight.
-    The hop limit holds for the hop counts; a weighted path may take more hops."""
+    The hop limit (none below 1) holds for the hop counts; a weighted path may take more hops,
+    any number unless there is a ``limit``."""
     hops = distances(edges, sources, None, max_steps if max_steps > 0 else limit)
     out = hops.select(F.col("origin").alias("sc_id_origin"), F.col("dest").alias("sc_id_dest"), F.col("distance").alias("path_length"))
     for w in weights:
@@ -120,9 +132,10 @@ def prune_neighbours(table: DataFrame, n: int, column: str = "weight", by: str =
     return table.withColumn("__r", F.rank().over(Window.partitionBy(by).orderBy(column))).where(F.col("__r") <= n).drop("__r")
 
 
-def shortest_paths(edges: DataFrame, origin: str, targets: DataFrame, weight: str, max_steps: int = 20) -> DataFrame:
-    """All tied shortest paths from ``origin`` to the targets (column ``name``): dest, path
-    (array of names) and distance.  Paths are followed back along tight edges only."""
+def shortest_paths(edges: DataFrame, origin: str, targets: DataFrame, weight: str, max_steps: int | None = None) -> DataFrame:
+    """All tied shortest paths from ``origin`` to the targets (column ``name``), of at most
+    ``max_steps`` edges if it is given: dest, path (array of names, each once) and distance.
+    Paths are followed back along tight edges only."""
     spark = edges.sparkSession
     start = spark.createDataFrame([(origin,)], "name string")
     d = materialise(distances(edges, start, weight, max_steps).select(F.col("dest").alias("name"), "distance").unionByName(start.select("name", F.lit(0.0).alias("distance"))), "paths")
@@ -130,8 +143,8 @@ def shortest_paths(edges: DataFrame, origin: str, targets: DataFrame, weight: st
     tight = materialise(tight.where(F.abs(F.col("__a") + F.col(weight) - F.col("__b")) < 1e-9).select("src", "dst").distinct(), "tight")
     open_ = targets.select("name").distinct().join(d, "name").where(F.col("name") != F.lit(origin)).select(F.col("name").alias("dest"), F.col("name").alias("at"), F.array("name").alias("path"), "distance")
     done = None
-    for _ in range(max_steps):
-        open_ = materialise(open_.join(tight, F.col("at") == F.col("dst")).select("dest", F.col("src").alias("at"), F.concat(F.array("src"), "path").alias("path"), "distance"), "paths")
+    for _ in itertools.count() if max_steps is None else range(max_steps):
+        open_ = materialise(open_.join(tight, (F.col("at") == F.col("dst")) & ~F.array_contains("path", F.col("src"))).select("dest", F.col("src").alias("at"), F.concat(F.array("src"), "path").alias("path"), "distance"), "paths")
         end = open_.where(F.col("at") == F.lit(origin)).select("dest", "path", "distance")
         done = end if done is None else done.unionByName(end)
         open_ = open_.where(F.col("at") != F.lit(origin))

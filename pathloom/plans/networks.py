@@ -77,7 +77,7 @@ def _(t: Tables) -> DataFrame:
 def _(t: Tables) -> DataFrame:
     targets = t.nation.select(F.col("n_nationkey").alias("name"))
     e = t.trade().select(F.col("src").cast("string").alias("src"), F.col("dst").cast("string").alias("dst"), "weight")
-    return traverse.shortest_paths(e, "0", targets.select(F.col("name").cast("string").alias("name")), "weight", 8).select("dest", F.array_join("path", ">").alias("path"), F.round("distance", 6).alias("distance"))
+    return traverse.shortest_paths(e, "0", targets.select(F.col("name").cast("string").alias("name")), "weight").select("dest", F.array_join("path", ">").alias("path"), F.round("distance", 6).alias("distance"))
 
 
 @query(

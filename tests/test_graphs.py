@@ -140,3 +140,20 @@ def test_pagerank_has_all_vertices_of_a_large_network(spark):
     out = propagation.pagerank(edges(spark, [("0", "1"), ("1", "2")]), v, resets, iterations=2, tolerance=0.0)
     assert out.count() == 100_001
     assert sorted(r.name for r in out.where("value > 0").collect()) == ["0", "1", "2"]
+
+
+def test_distances_without_a_limit_go_all_the_way(spark):
+    e = spark.createDataFrame([*((f"c{i:02d}", f"c{i + 1:02d}", 1.0) for i in range(54)), ("c00", "c54", 99.0)], "src string, dst string, w double")
+    start = spark.createDataFrame([("c00",)], "name string")
+    got = {r.sc_id_dest: (r.path_length, r.path_w) for r in traverse.hop_and_weight(e, ["w"], sources=start).collect()}
+    assert got["c53"] == (53, 53) and got["c54"] == (1, 54)
+    got = {r.sc_id_dest: (r.path_length, r.path_w) for r in traverse.hop_and_weight(e, ["w"], 1, start).collect()}
+    assert got == {"c01": (1, 1), "c54": (1, 54)}
+    with pytest.raises(ValueError, match="cycle"):
+        traverse.distances(spark.createDataFrame([("a", "b", 1.0), ("b", "c", -2.0), ("c", "b", 1.0)], "src string, dst string, w double"), weight="w", max_steps=None)
+
+
+def test_shortest_paths_of_any_length(spark):
+    e = spark.createDataFrame([*((f"c{i:02d}", f"c{i + 1:02d}", 1.0) for i in range(22)), ("c22", "c21", 0.0), ("c21", "c22", 0.0)], "src string, dst string, w double")
+    out = traverse.shortest_paths(e, "c00", spark.createDataFrame([("c22",)], "name string"), "w").collect()
+    assert [r.path for r in out] == [[f"c{i:02d}" for i in range(23)]]
