@@ -11,9 +11,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.scalars import snippet
+from ..runtime import materialise
 
 #: How far over the wished size a chunk may be before it is cut.
 TOLERANCE = 1.2
+#: Queries that are broadcast at once.
+QUERIES = 10_000
 _HEADER = re.compile(r"(?m)^(?=#{2,4} )")
 _SENTENCE = re.compile(r"(?<=[.!?])\s+")
 
@@ -99,11 +102,19 @@ def cosine(a: Column, b: Column) -> Column:
 
 
 def nearest(vectors: DataFrame, queries: DataFrame, k: int, key: str = "vec_id") -> DataFrame:
-    """query_id, key, score of the k vectors most like each query (a small set, checked and
-    broadcast); ties go to the smaller key."""
-    n = queries.count()
-    if n > 10_000:
-        raise ValueError("queries are broadcast: pass them in blocks of at most 10,000")
+    """query_id, key, score of the k vectors most like each query; ties go to the smaller key.
+    Queries are broadcast, in blocks of about ``QUERIES`` by their key where there are more."""
+    blocks = -(-queries.count() // QUERIES)
+    if blocks <= 1:
+        return _nearest(vectors, queries, k, key)
+    out = None
+    for b in range(blocks):
+        part = materialise(_nearest(vectors, queries.where(F.pmod(F.xxhash64(key), F.lit(blocks)) == b), k, key), "nearest")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def _nearest(vectors: DataFrame, queries: DataFrame, k: int, key: str) -> DataFrame:
     q = queries.select(F.col(key).alias("query_id"), F.col("embedding").alias("__q")).withColumn("__k", F.lit(1))
     scored = vectors.withColumn("__k", F.lit(1)).join(F.broadcast(q), "__k").where(F.col(key) != F.col("query_id")).select("query_id", key, cosine(F.col("embedding"), F.col("__q")).alias("score"))
     # the k best of each query: a group limit runs in the tasks of the input before the shuffle

@@ -1,6 +1,6 @@
 import pytest
 
-from pathloom.operators import consensus, edgelist, propagation, summaries, traverse
+from pathloom.operators import consensus, edgelist, propagation, search, summaries, traverse
 from pathloom.operators.integrity import cascade, infer_compartments
 from pathloom.operators.matching import bind_tables, resolve
 
@@ -157,3 +157,11 @@ def test_shortest_paths_of_any_length(spark):
     e = spark.createDataFrame([*((f"c{i:02d}", f"c{i + 1:02d}", 1.0) for i in range(22)), ("c22", "c21", 0.0), ("c21", "c22", 0.0)], "src string, dst string, w double")
     out = traverse.shortest_paths(e, "c00", spark.createDataFrame([("c22",)], "name string"), "w").collect()
     assert [r.path for r in out] == [[f"c{i:02d}" for i in range(23)]]
+
+
+def test_nearest_takes_any_number_of_queries(spark):
+    vectors = spark.createDataFrame([(-1, [1.0, 0.0]), (-2, [0.0, 1.0])], "vec_id long, embedding array<double>")
+    queries = spark.range(10_050).selectExpr("id AS vec_id", "if(id % 2 = 0, array(2D, 1D), array(1D, 2D)) AS embedding")
+    out = search.nearest(vectors, queries, 1)
+    assert out.count() == 10_050
+    assert out.where("vec_id <> if(query_id % 2 = 0, -1, -2)").isEmpty()
