@@ -20,7 +20,6 @@ from __future__ import annotations
 
 import re
 import threading
-import unicodedata
 import zlib
 from collections.abc import Iterator
 
@@ -44,19 +43,6 @@ ROUNDS = 4
 #: Words, and runs without white space, whose ids a Python worker remembers, at most.
 REMEMBERED = 400_000
 REMEMBERED_RUNS = 250_000
-_ODD = re.compile("[\x1c-\x1f]")
-
-
-def _alphabet() -> dict[int, str]:
-    """The characters that stand for bytes in a byte-level vocabulary: printable ones for
-    themselves, the others, in order, for those from 256 on."""
-    printable = {*range(33, 127), *range(161, 173), *range(174, 256)}
-    others = [b for b in range(256) if b not in printable]
-    return {b: chr(256 + k) for k, b in enumerate(others)}
-
-
-_ALPHABET = _alphabet()
-
 
 # --- tokens ----------------------------------------------------------------------
 
@@ -70,20 +56,24 @@ def tokenizer_path() -> str:
 class Encoder:
     """The ids of whole texts, as little-endian unsigned 32-bit integers.
 
-    The tokenizer cuts a normalised text into words and encodes each on its own, so the
-    ids of a word are looked up once and remembered."""
+    Normalising and cutting into words never looks across white space, so a text is cut
+    into runs without white space, and the ids of a run are looked up once and remembered.
+    A new run goes through the tokenizer's own normaliser, pre-tokenizer and merges; runs of
+    printable ASCII, which the same rules cut alike under any version of Unicode, are lowered
+    and cut here.  Texts that spell an added token go through the tokenizer whole, as do
+    those with separators that are white space to Python but not to the tokenizer."""
 
-    _pattern = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+    _ascii = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
+    _odd = re.compile("[\x1c-\x1f]")
     _made: dict[str, Encoder] = {}
     _lock = threading.Lock()
 
     def __init__(self, path: str) -> None:
-        import regex
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        self.find = regex.compile(self._pattern).findall
+        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.odd = re.compile("|".join([self._odd.pattern, *map(re.escape, added)]))
         self.words: dict[str, bytes] = {}
         self.runs: dict[str, bytes] = {}
 
@@ -94,28 +84,33 @@ class Encoder:
                 cls._made[path] = cls(path)
             return cls._made[path]
 
-    def _normal(self, text: str) -> str:
-        if text.isascii():
-            return text.lower()
-        if "Σ" in text or "İ" in text:  # their lower case depends on what stands around them
-            return self.tokenizer.normalizer.normalize_str(text)
-        return unicodedata.normalize("NFC", text).lower()
-
-    def _word(self, word: str) -> bytes:
-        """The ids of one word, by the tokenizer's merges alone: the word is normalised and
-        cut already, what is left is its bytes in the alphabet of the vocabulary."""
-        if not word.isascii():
-            word = word.encode().decode("latin-1").translate(_ALPHABET)
-        return np.array([t.id for t in self.tokenizer.model.tokenize(word)], "<u4").tobytes()
+    def _cut(self, runs: set[str]) -> Iterator[tuple[str, list[str]]]:
+        """The words of each run, in the alphabet of the vocabulary."""
+        others = []
+        for r in runs:
+            if r.isascii() and r.isprintable():
+                yield r, self._ascii.findall(r.lower())
+            else:
+                others.append(r)
+        if not others:
+            return
+        normal = self.tokenizer.normalizer.normalize_str(" ".join(others))
+        words: list[list[str]] = [[] for _ in others]
+        ends = [i for i, c in enumerate(normal) if c == " "]
+        at = 0
+        for word, (start, _) in self.tokenizer.pre_tokenizer.pre_tokenize_str(normal):
+            while at < len(ends) and start > ends[at]:
+                at += 1
+            words[at].append(word)
+        yield from zip(others, words, strict=True)
 
     def _learn(self, runs: set[str]) -> dict[str, bytes]:
         """The ids of runs without white space, from those of their words."""
         known, out, new = self.words, {}, []
-        for r in runs:
-            words = self.find(r)
+        for r, words in self._cut(runs):
             for w in words:
                 if w not in known:
-                    known[w] = self._word(w)
+                    known[w] = np.array([t.id for t in self.tokenizer.model.tokenize(w)], "<u4").tobytes()
                     new.append(w)
             out[r] = known[words[0]] if len(words) == 1 else b"".join([known[w] for w in words])
         if len(known) > REMEMBERED:  # what came first is what is frequent: that stays
@@ -124,7 +119,8 @@ class Encoder:
         return out
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        runs = [[] if _ODD.search(t) else self._normal(t).split() for t in texts]
+        whole = [self.odd.search(t) is not None for t in texts]
+        runs = [[] if w else t.split() for t, w in zip(texts, whole, strict=True)]
         known = self.runs
         new = self._learn(set().union(*runs).difference(known))
         known.update(new)
@@ -133,7 +129,7 @@ class Encoder:
             for r in new:
                 del known[r]
         for i, t in enumerate(texts):
-            if _ODD.search(t):  # separators that are white space to one side only
+            if whole[i]:
                 out[i] = np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes()
         return out
 

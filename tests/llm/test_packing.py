@@ -23,7 +23,6 @@ def check(rows, capacity):
 
 def test_pieces_are_the_tokenizer_s(spark):
     t = Tokenizer.from_file(packing.tokenizer_path())
-    t.encode_special_tokens = True
     got = packing.pack_documents(documents(spark)).collect()
     assert check(got, packing.CAPACITY) == -(-sum(r.length for r in got) // packing.CAPACITY)
     for i, text in enumerate(texts()):
@@ -65,6 +64,39 @@ def test_words_beyond_the_memory_are_encoded_all_the_same(monkeypatch):
     monkeypatch.setattr(packing, "REMEMBERED_RUNS", 5)
     e = packing.Encoder(packing.tokenizer_path())
     t = Tokenizer.from_file(packing.tokenizer_path())
-    t.encode_special_tokens = True
     for text in texts():
         assert np.frombuffer(e([text or ""])[0], "<u4").tolist() == t.encode(text or "", add_special_tokens=False).ids
+
+
+def test_ids_are_the_plain_library_s():
+    t = Tokenizer.from_file(packing.tokenizer_path())
+    e = packing.Encoder(packing.tokenizer_path())
+    odd = [
+        "hi <|endoftext|> there <|startoftext|>x",
+        "a\x00b \x01\x02 c\x7f",
+        "tab\tnew\nline\x0b\x0c\r end\x85next\u2028x\u3000y\xa0z",
+        "ΟΔΟΣ ΣΑΣ. Σ' İI ǅ ﬁ ß ẞ",
+        "e\u0301 \u0301x A\u030a \u212b \u1100\u1161",
+        "it's IT'S we'll '' 'S' x'd ١٢ ½ ² 1234",
+        "😀👩‍👩‍👧 \u200d \u200b zero\u200bwidth \ufeff",
+        "\u2000a\u2001b\u180ec",
+        "",
+        " ",
+    ]
+    got = e(odd)
+    assert [np.frombuffer(g, "<u4").tolist() for g in got] == [t.encode(x, add_special_tokens=False).ids for x in odd]
+
+
+def test_evolving_beats_best_fit_alone():
+    r = np.random.default_rng(0)
+    r.integers(10, 60, 300)
+    # triplets that fill a bin each: best fit alone misses many of them
+    a = r.integers(25, 45, 100)
+    b = np.array([r.integers(20, 100 - x - 20 + 1) for x in a])
+    lengths = np.concatenate([a, b, 100 - a - b])
+    bins, fill = np.full(len(lengths), -1), []
+    packing.best_fit(np.arange(len(lengths)), lengths, bins, fill, 100)
+    evolved = packing.evolve(lengths, 100, 0, [], 400)
+    worth = lambda x: packing.fitness(packing.solution(x, lengths)[1], 100)
+    assert worth(evolved) > worth(bins)
+    assert packing.solution(evolved, lengths)[0].max() + 1 < len(fill)
