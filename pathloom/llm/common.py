@@ -10,11 +10,13 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows up to which a side of a join may be broadcast (a few longs each: some tens of MB).
 BROADCAST_ROWS = 500_000
+#: Bytes up to which a side whose rows hold arrays may be broadcast.
+BROADCAST_BYTES = 64 << 20
 #: Bytes of text worked on at once inside a task; a longer text is a slice of its own.
 SLICE_BYTES = 1 << 20
 
@@ -66,6 +68,12 @@ def drop_path(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of plans that nothing refers to any more: it does
+    so when the driver collects garbage, which may be long after they were read."""
+    spark.sparkContext._jvm.System.gc()
+
+
 def small_or_shuffled(df: DataFrame, rows: int | None = None, bound: int = BROADCAST_ROWS) -> DataFrame:
     """``df`` marked for a broadcast if it is known to have at most ``bound`` rows;
     otherwise unmarked, so that the join shuffles (and may split skewed keys)."""
@@ -73,6 +81,12 @@ def small_or_shuffled(df: DataFrame, rows: int | None = None, bound: int = BROAD
     return F.broadcast(df) if n <= bound else df
 
 
+def light_or_shuffled(df: DataFrame, each: Column, bound: int = BROADCAST_BYTES) -> DataFrame:
+    """The same by bytes: for rows of about ``each`` bytes besides their fixed part."""
+    size = df.agg(F.sum(F.coalesce(each, F.lit(0)) + 64)).first()[0] or 0
+    return F.broadcast(df) if size <= bound else df
+
+
 def parts(spark: SparkSession, rows: int, each: int) -> int:
     """Partitions for ``rows`` rows at ``each`` a partition, two at least."""
     return max(2, -(-rows // each))

@@ -1,7 +1,7 @@
-"""Suffix-array dedup: removes every byte covered by a repeated string of 400 bytes
-(operator 7).
+"""Suffix-array dedup: removes every byte covered by a repeated string of ``length`` bytes,
+400 unless another length is asked for (operator 7).
 
-1. *Anchors* (:mod:`.anchors`) give each window of 400 bytes a name that equal windows
+1. *Anchors* (:mod:`.anchors`) give each window of that length a name that equal windows
    share.  Windows whose name stands at one place only can't be repeated and are done.
 2. Of the rest, the windows around an anchor are settled together where all bytes they
    cover are the same as around another anchor (the inside of a repeated passage).
@@ -15,7 +15,7 @@
 Rows move only as hashes and places, except for the strings of step 3 and the documents
 that have repeated windows.
 
-Defined results: a null text is empty; texts below 400 bytes keep all bytes; rows that
+Defined results: a null text is empty; texts below ``length`` bytes keep all bytes; rows that
 repeat are texts of their own, so both lose what they share; doc_id may be null or
 repeat (a row is known by a hash of doc_id and text); an empty table gives an empty
 result; other columns are passed through by :func:`remove_repeats` (one that is named like
@@ -35,11 +35,13 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from . import anchors, bwt
-from .common import as_long, bytes_of, keep_clear, materialise, slices, small_or_shuffled, utf8
+from .common import as_long, bytes_of, drop, keep_clear, light_or_shuffled, materialise, slices, small_or_shuffled, utf8
 
 LENGTH = anchors.LENGTH
-#: Strings of a name, and in a merged transform, at most.
+#: Strings of a name at most, and strings from which a merged transform is full (small ones
+#: stay in the processor's caches: 0.4 ms a string against 0.6).
 GROUP = 8000
+MERGED = 1000
 #: Shards whose transforms are merged in a task.
 SHARDS = 3
 
@@ -51,14 +53,14 @@ def _keyed(documents: DataFrame) -> DataFrame:
     return documents.withColumn("__rid", F.xxhash64(F.col("doc_id"), F.coalesce("text", F.lit(""))))
 
 
-def _anchors(keyed: DataFrame) -> DataFrame:
+def _anchors(keyed: DataFrame, length: int) -> DataFrame:
     """Names of anchors with the places that have them: a row for each (name, all bytes
     covered) of a slice of a task, its places in an array."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
             data, ends = bytes_of(b.column(1))
-            row, place, low, high, h1, h2, whole = anchors.find(data, ends)
+            row, place, low, high, h1, h2, whole = anchors.find(data, ends, length)
             if not len(row):
                 continue
             rid = b.column(0).to_numpy()[row]
@@ -103,12 +105,13 @@ def _candidates(found: DataFrame) -> DataFrame:
     ).where("settled or mixed")
 
 
-def _strings(keyed: DataFrame, wanted: DataFrame) -> DataFrame:
+def _strings(keyed: DataFrame, wanted: DataFrame, length: int, scratch: list[DataFrame]) -> DataFrame:
     """The strings around the ``wanted`` (rid, at, h1, h2, open) places: the bytes left of
     the name (``l``) and right of it (``r``); ``base`` is where ``l`` starts in the text."""
     per = wanted.groupBy("rid").agg(F.collect_list(F.struct("at", "h1", "h2", "open")).alias("wanted"))
     per = materialise(per, "repeats-wanted")
-    rows = keyed.select(F.col("__rid").alias("rid"), "text").join(small_or_shuffled(per, bound=100_000), "rid")
+    scratch.append(per)
+    rows = keyed.select(F.col("__rid").alias("rid"), "text").join(light_or_shuffled(per, 48 * F.size("wanted")), "rid")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
@@ -118,7 +121,7 @@ def _strings(keyed: DataFrame, wanted: DataFrame) -> DataFrame:
                 for p in places:
                     low, left, span = p["at"] >> 16, p["at"] >> 8 & 255, p["at"] & 255
                     place = low + left
-                    out.append((p["h1"], p["h2"], anchors.REACH, rid, p["open"], low, data[low:place], data[place + anchors.CORE : low + span + LENGTH]))
+                    out.append((p["h1"], p["h2"], anchors.REACH, rid, p["open"], low, data[low:place], data[place + anchors.core(length) : low + span + length]))
             yield _batch(out)
 
     # repeated rows have equal ids and texts: one of them stands for all
@@ -199,12 +202,13 @@ def merged_repeats(rows: list[tuple], reach: int, shards: int = SHARDS) -> list[
     return out
 
 
-def _edges(strings: DataFrame, group: int) -> DataFrame:
+def _edges(strings: DataFrame, group: int, scratch: list[DataFrame]) -> DataFrame:
     """rid, low, high: the repeated windows of strings whose names differ in what they cover."""
     done: list[DataFrame] = []
     rest = strings
     while True:
         big = materialise(rest.groupBy("reach", "h1", "h2").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > group).select("reach", "h1", "h2"), "repeats-big")
+        scratch.append(big)
         n = big.count()
         if not n:
             done.append(rest)
@@ -214,6 +218,7 @@ def _edges(strings: DataFrame, group: int) -> DataFrame:
         hot = rest.join(big, ["reach", "h1", "h2"], "left_semi")
         done.append(hot.where("reach = 1"))
         rest = materialise(_split(hot.where("reach > 1").select(*[x.split()[0] for x in _STRINGS.split(", ")])), "repeats-split")
+        scratch.append(rest)
     columns = [x.split()[0] for x in _STRINGS.split(", ")]
     every = done[0].select(*columns)
     for d in done[1:]:
@@ -232,7 +237,7 @@ def _edges(strings: DataFrame, group: int) -> DataFrame:
 
         for b in batches:
             for row in zip(*[c.to_pylist() for c in b.columns], strict=True):
-                if held and (row[2] != held[-1][2] or (len(held) >= group and row[:2] != held[-1][:2])):
+                if held and (row[2] != held[-1][2] or (len(held) >= min(group, MERGED) and row[:2] != held[-1][:2])):
                     yield give(held)
                     held = []
                 held.append(row)
@@ -242,9 +247,11 @@ def _edges(strings: DataFrame, group: int) -> DataFrame:
     return ordered.mapInArrow(work, "rid long, low long, high long").unionByName(singles)
 
 
-def repeated_windows(keyed: DataFrame, group: int = GROUP) -> DataFrame:
-    """rid and the runs of its repeated windows: first and last start."""
-    known = materialise(_candidates(_anchors(keyed)), "repeats-known")
+def repeated_windows(keyed: DataFrame, group: int = GROUP, length: int = LENGTH, scratch: list[DataFrame] | None = None) -> DataFrame:
+    """rid and the runs of its repeated windows: first and last start.  The tables that are to
+    be dropped after use are added to ``scratch``."""
+    scratch = [] if scratch is None else scratch
+    known = materialise(_candidates(_anchors(keyed, length)), "repeats-known")
     at = F.col("p.at")
     low = F.shiftright(at, 16)
     settled = known.where("settled").select(F.explode("places").alias("p")).select(F.col("p.rid").alias("rid"), low.alias("low"), (low + at.bitwiseAND(255)).alias("high"))
@@ -253,18 +260,26 @@ def repeated_windows(keyed: DataFrame, group: int = GROUP) -> DataFrame:
     # only names that still have an open string are worth a look
     open_ = materialise(wanted.where("open").select("h1", "h2").distinct(), "repeats-open")
     wanted = wanted.join(small_or_shuffled(open_), ["h1", "h2"], "left_semi")
-    strings = materialise(_strings(keyed, wanted), "repeats-strings")
-    return settled.unionByName(_edges(strings, group))
+    strings = materialise(_strings(keyed, wanted, length, scratch), "repeats-strings")
+    scratch += [known, open_, strings]
+    return settled.unionByName(_edges(strings, group, scratch))
 
 
-def remove_repeats(documents: DataFrame, group: int = GROUP) -> DataFrame:
+def remove_repeats(documents: DataFrame, group: int = GROUP, length: int = LENGTH, words: int = 0) -> DataFrame:
     """``documents`` with ``__kept`` (the remaining bytes), ``__n_bytes``, ``__n_removed``,
     ``__n_spans``, and ``__text``: the remaining bytes as text, without the halves of
-    characters that a span has cut."""
+    characters that a span has cut.  ``length``: bytes of the strings that may not repeat.
+    ``words``: united spans with fewer words than that stay."""
+    if length <= anchors.REACH + anchors.GRAM:
+        raise ValueError(f"strings of over {anchors.REACH + anchors.GRAM} bytes only")
     documents = keep_clear(documents, "__rid", "__runs", "__kept", "__n_bytes", "__n_removed", "__n_spans", "__text")
     keyed = _keyed(documents)
-    runs = materialise(repeated_windows(keyed.select("doc_id", "text", "__rid"), group), "repeats-runs")
+    scratch: list[DataFrame] = []
+    runs = materialise(repeated_windows(keyed.select("doc_id", "text", "__rid"), group, length, scratch), "repeats-runs")
+    for table in scratch:
+        drop(table)
     per = materialise(runs.groupBy(F.col("rid").alias("__rid")).agg(F.collect_list(F.struct("low", "high")).alias("__runs")), "repeats-per")
+    drop(runs)
     known = small_or_shuffled(per.select("__rid"))
     hit = keyed.join(known, "__rid", "left_semi").join(per, "__rid")
     data = F.encode(F.coalesce("text", F.lit("")), "UTF-8")
@@ -281,14 +296,16 @@ def remove_repeats(documents: DataFrame, group: int = GROUP) -> DataFrame:
             kept, sizes, removed, spans, texts = [], [], [], [], []
             for text, runs in zip(utf8(b.column(at)).to_pylist(), b.column(width + 1).to_pylist(), strict=True):
                 data = text.encode()
-                out, end, n = [], 0, 0
+                found: list[list[int]] = []
                 for low, high in sorted((r["low"], r["high"]) for r in runs):
-                    if n and low <= end:
-                        end = max(end, high + LENGTH)
-                        continue
-                    out.append(data[end:low] if n else data[:low])
-                    n, end = n + 1, high + LENGTH
-                out.append(data[end:])
+                    if found and low <= found[-1][1]:
+                        found[-1][1] = max(found[-1][1], high + length)
+                    else:
+                        found.append([low, high + length])
+                if words:
+                    found = [x for x in found if len(data[x[0] : x[1]].split()) >= words]
+                n, cuts = len(found), [0, *[at for x in found for at in x], len(data)]
+                out = [data[a:z] for a, z in zip(cuts[::2], cuts[1::2], strict=True)]
                 kept.append(b"".join(out))
                 texts.append("".join(part.decode("utf-8", "ignore") for part in out))
                 sizes.append(len(data))
