@@ -15,7 +15,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    decoded = pieces.decode(pieces.encode(_table(spark, sf_dir, "documents").select("doc_id", "text")))
+    decoded = pieces.encode(_table(spark, sf_dir, "documents").select("doc_id", "text"), texts=True)
     return decoded.select(
         "doc_id",
         (F.octet_length("ids") / 4).cast("long").alias("n_ids"),
@@ -147,7 +147,7 @@ WITH l AS (
   SELECT l.*, common.line IS NOT NULL AS hit FROM l LEFT JOIN common ON l.line = common.line
 ), d AS (
   SELECT doc_id, count(*) AS n_lines, count(*) FILTER (hit) AS n_hit,
-    coalesce(sum(length(line)) FILTER (hit), 0) <= {lines.MOST_REMOVED} * greatest(1, sum(length(line))) AS cut,
+    coalesce(bool_or(NOT hit AND trim(line) <> ''), false) AS cut,
     string_agg(line, chr(10) ORDER BY pos) AS whole,
     coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT hit), '') AS kept
   FROM m GROUP BY doc_id

@@ -4,11 +4,11 @@ A line (a text is cut at ``\\n``) is boilerplate if it stands in documents of at
 ``min_sites`` distinct sites (``source``).  Per line hash a HyperLogLog sketch of the
 sites is merged by aggregation, first inside the tasks of the input.  An estimate off
 the threshold by more than the sketch's error settles a line; the lines in between get
-exact distinct counts.  Boilerplate lines are then taken out of the documents, unless
-they make up more than ``most_removed`` of a document's characters: such a document is
-a copy of something widespread rather than a carrier of boilerplate, and is left whole.
-With ``most_removed`` None, as in the pipeline, they go from every document that keeps a
-line of its own, however short; only documents of nothing but boilerplate are left whole.
+exact distinct counts; an estimate further off is off by over four of its standard errors
+if it is wrong.  Boilerplate lines are then taken out of every document that keeps a line
+of its own, however short.  A document of nothing but boilerplate (and blank lines) is a
+copy of something widespread rather than a carrier of it, and is left whole: such copies
+are near-duplicates' business.
 
 Defined results: a null text is empty; a null source is no site; blank lines (of spaces
 or nothing) are never boilerplate; rows that repeat are treated alike; a row with a null
@@ -22,10 +22,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import keep_clear, materialise, small_or_shuffled
+from .common import drop, keep_clear, light_or_shuffled, materialise, small_or_shuffled
 
 MIN_SITES = 10
-MOST_REMOVED = 0.5
 #: log2 of the registers of a sketch, and its relative standard error (1.04 / sqrt(registers)).
 LG_K = 10
 ERROR = 0.0325
@@ -71,43 +70,37 @@ def boilerplate(documents: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
         .where(F.col("sites") >= min_sites)
         .select("line_id")
     )
-    return materialise(sure.unionByName(exact), "lines-boilerplate")
+    out = materialise(sure.unionByName(exact), "lines-boilerplate")
+    drop(often)
+    drop(spread)
+    return out
 
 
-def remove_boilerplate(documents: DataFrame, min_sites: int = MIN_SITES, most_removed: float | None = MOST_REMOVED) -> DataFrame:
+def remove_boilerplate(documents: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
     """``documents`` with ``text`` without its boilerplate lines, and ``__n_lines`` and
-    ``__n_removed``.  ``most_removed`` None: from all that keep a line that is not blank."""
-    documents = keep_clear(documents, "__at", "__hits", "__n_lines", "__n_removed")
+    ``__n_removed``."""
+    documents = keep_clear(documents, "__at", "__hits", "__lines", "__own", "__row", "__n_lines", "__n_removed")
     common = boilerplate(documents, min_sites)
+    # rows that repeat a doc_id may have different texts: a row is known by 128 bits of both
+    text = F.coalesce("text", F.lit(""))
+    row = F.when(F.col("doc_id").isNotNull(), F.struct(F.xxhash64("doc_id", text).alias("a"), F.xxhash64(F.lit("row"), text, "doc_id").alias("b")))
+    keyed = documents.withColumn("__row", row)
     hits = (
-        documents.where(F.col("doc_id").isNotNull())
-        .select("doc_id", F.posexplode(lines_of(F.col("text"))).alias("__at", "line"))
+        keyed.where(F.col("doc_id").isNotNull())
+        .select("__row", F.posexplode(lines_of(F.col("text"))).alias("__at", "line"))
         .where(F.trim("line") != "")
-        .select("doc_id", "__at", line_hash(F.col("line")).alias("line_id"))
+        .select("__row", "__at", line_hash(F.col("line")).alias("line_id"))
         .join(small_or_shuffled(common), "line_id", "left_semi")
-        .select("doc_id", "__at", F.col("line_id"))
     )
-    # rows that repeat a doc_id may have different lines: a place is hit only if its line is
-    per_doc = materialise(
-        hits.groupBy("doc_id").agg(F.array_distinct(F.collect_list(F.struct("__at", "line_id"))).alias("__hits")), "lines-hits"
-    )
-    joined = documents.join(small_or_shuffled(per_doc, bound=200_000), "doc_id", "left")
-    lines = lines_of(F.col("text"))
-    places = F.col("__hits")["__at"]
-    gone = F.filter(
-        lines,
-        lambda line, i: F.array_contains(places, i) & F.exists(F.col("__hits"), lambda h: (h["__at"] == i) & (h["line_id"] == line_hash(line))),
-    )
-    gone = F.when(F.col("__hits").isNull(), F.array().cast("array<string>")).otherwise(gone)
-    share = F.aggregate(gone, F.lit(0).cast("long"), lambda a, x: a + F.length(x)) / F.greatest(F.lit(1), F.length(F.array_join(lines, "")))
-    kept = F.filter(
-        lines,
-        lambda line, i: ~(F.array_contains(places, i) & F.exists(F.col("__hits"), lambda h: (h["__at"] == i) & (h["line_id"] == line_hash(line)))),
-    )
-    carries = F.exists(kept, lambda line: F.trim(line) != "") if most_removed is None else share <= most_removed
-    cut = F.col("__hits").isNotNull() & carries
-    return joined.select(
-        *[F.when(cut, F.array_join(kept, "\n")).otherwise(F.col("text")).alias("text") if c == "text" else F.col(c) for c in documents.columns],
-        F.size(lines).cast("long").alias("__n_lines"),
-        F.when(cut, F.size(gone)).otherwise(0).cast("long").alias("__n_removed"),
+    per_row = materialise(hits.groupBy("__row").agg(F.collect_set("__at").alias("__hits")), "lines-hits")
+    drop(common)
+    joined = keyed.join(light_or_shuffled(per_row, 8 * F.size("__hits")), "__row", "left").withColumn("__lines", lines_of(F.col("text")))
+    # set operations over places and a look-up by place: linear in the lines of a document
+    places = F.array_except(F.sequence(F.lit(0), F.size("__lines") - 1), F.col("__hits"))
+    own = joined.withColumn("__own", F.transform(places, lambda i: F.get(F.col("__lines"), i)))
+    cut = F.coalesce(F.exists("__own", lambda line: F.trim(line) != ""), F.lit(False))
+    return own.select(
+        *[F.when(cut, F.array_join("__own", "\n")).otherwise(F.col("text")).alias("text") if c == "text" else F.col(c) for c in documents.columns],
+        F.size("__lines").cast("long").alias("__n_lines"),
+        F.when(cut, F.size("__lines") - F.size("__own")).otherwise(0).cast("long").alias("__n_removed"),
     )
