@@ -6,42 +6,46 @@
 2. The distinct units' substrings of bounded length are exploded and equi-joined to the
    piece table: every match is an edge of the unit's lattice.  The rows stay where the
    units were dealt, so that edges are grouped by unit without another shuffle.
-3. The lattice is folded.  For a unigram model that is Viterbi in a higher-order
-   ``aggregate``.  A BPE model's scores are merge ranks, not log probabilities, and the
-   path with the best sum is not what the model encodes; there the lattice's edges are
-   merged by rank instead, which gives the ids of the public library.
-4. Each text is put together from its units' ids.  The ``BROADCAST_UNITS`` most frequent
-   units are broadcast; the others are joined by unit and then by text.
+3. The lattice is folded in a higher-order ``aggregate``.  For a unigram model that is
+   Viterbi.  A BPE model's scores are merge ranks, not log probabilities, and the path with
+   the best sum is not what the model encodes; there the edges are folded in the order of
+   their ranks, the state being the set of places at which the unit is still cut, as the
+   bits of a number (:func:`fold`).  That gives the ids of the public library.
+4. Each text is put together from its units' ids.  The most frequent units,
+   ``BROADCAST_UNITS`` at most, are broadcast; the others are joined by unit and then by text.
 
 Defined results: a null or empty text has no ids; characters outside the model become
-byte pieces, or the unknown piece where the model has none; units longer than
-``LONGEST`` characters are merged in place, by the same rule; rows that repeat or share
-a doc_id are encoded each; an empty table gives an empty result; other columns are not
-read.
+byte pieces, or the unknown piece where the model has none; units that the fold does not
+cover (longer than ``LONGEST`` characters, with such characters, or with one of the few
+pieces that are not made by ever worse merges) are merged one by one, by the same rule;
+rows that repeat or share a doc_id are encoded each; an empty table gives an empty result;
+other columns are not read.
 """
 
 from __future__ import annotations
 
 import heapq
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
 import regex
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import drop, materialise, slices, small_or_shuffled, utf8
+from .common import drop, materialise, release, slices, small_or_shuffled, utf8
 
 MARK = "▁"
-#: Characters of a unit up to which it goes through the joined lattice.
-LONGEST = 128
+#: Characters of a unit up to which it goes through the joined lattice (the places between
+#: them are bits of a long).
+LONGEST = 61
 #: Units whose ids are broadcast, at most (some 60 bytes each).
 BROADCAST_UNITS = 400_000
-_COUNTED = 200_000
+_COUNTED = 500_000
 #: Runs of units whose ids a Python worker remembers.
 _REMEMBERED = 200_000
 #: Units that pieces may not cross, from fine to coarse.
@@ -65,6 +69,8 @@ class Model:
     ids: dict[str, int] = field(default_factory=dict)
     #: Places of the pieces by score, the best first, equal scores in one place.
     rank: list[int] = field(default_factory=list)
+    #: Pieces of a BPE model that are not made by ever worse merges when they stand alone.
+    odd: set[int] = field(default_factory=set)
 
     def __post_init__(self) -> None:
         places = {s: k for k, s in enumerate(sorted(set(self.scores), reverse=True))}
@@ -72,6 +78,15 @@ class Model:
         self.ids = {self.pieces[i]: i for i in self.normal}
         self.longest = max((len(self.pieces[i]) for i in self.normal), default=1)
         self.units = next(p for p in PATTERNS if all(regex.fullmatch(p, self.pieces[i]) and len(regex.findall(p, self.pieces[i])) == 1 for i in self.normal))
+        if self.bpe:
+            self.odd = {i for i in self.normal if not self._steady(i)}
+
+    def _steady(self, i: int) -> bool:
+        piece = self.pieces[i]
+        ranks: list[int] = []
+        if merge(piece, edges_of(piece, self), self, ranks) != [i]:
+            return False
+        return all(a <= b for a, b in zip(ranks[:-2], ranks[1:-1], strict=True)) and (len(ranks) < 2 or ranks[-2] < ranks[-1])
 
     @classmethod
     def read(cls, path: str) -> Model:
@@ -96,15 +111,24 @@ class Model:
     def normalise(self, text: str) -> str:
         return ((MARK if self.prefix else "") + text.replace(" ", MARK)) if text else ""
 
-    def runs(self, text: str) -> list[str]:
-        """The normalised text cut before its word marks, where no unit goes on: a word and
-        what clings to it, or, if marks follow each other, all of it as one."""
+    def words(self, text: str) -> tuple[list[str], str]:
+        """The text cut at its spaces, where no unit goes on: words that stand for themselves
+        with a mark before them, and a normalised run: the first word if it has no mark, and
+        all of a text in which marks follow each other."""
         if not text:
-            return []
+            return [], ""
         if self.units == PATTERNS[-1] or MARK in text or "  " in text or text[0] == " " or text[-1] == " ":
-            return [self.normalise(text)]
-        first, *rest = text.split(" ")
-        return [(MARK if self.prefix else "") + first, *[MARK + w for w in rest]]
+            return [], self.normalise(text)
+        words = text.split(" ")
+        return (words, "") if self.prefix else (words[1:], words[0])
+
+    @staticmethod
+    def prefixed(word: str) -> str:
+        return MARK + word
+
+    def cut(self, run: str, find: Callable[[str], list[str]]) -> list[str]:
+        """The units of a run."""
+        return [run] if run[1:].isalpha() and run[0] == MARK and self.units == PATTERNS[0] else find(run)
 
     def spell(self, c: str) -> list[int]:
         """The ids of a character that is no piece."""
@@ -120,12 +144,17 @@ def model_path() -> str:
 # --- folding a lattice -----------------------------------------------------------
 
 
-def merge(unit: str, edges: dict[int, int], m: Model) -> list[int]:
+#: Characters up to which :func:`merge` looks through all pairs at every step.
+_SHORT = 128
+
+
+def merge(unit: str, edges: dict[int, int], m: Model, ranks: list[int] | None = None) -> list[int]:
     """BPE: neighbours whose union is an edge are merged, the best score first, the
     leftmost of equals, until no union is an edge.  ``edges``: start * 65536 + end to id for
-    units of the lattice, for longer ones start << 32 | end (see :func:`edges_of`)."""
+    short units, for longer ones start << 32 | end (see :func:`edges_of`).  ``ranks`` takes
+    the ranks of the merges of a short unit."""
     n = len(unit)
-    if n > LONGEST:
+    if n > _SHORT:
         return _merge_long(unit, edges, m)
     rank, get, none = m.rank, edges.get, len(m.pieces)
     cut = list(range(n + 1))  # where the parts start, and the end
@@ -135,6 +164,8 @@ def merge(unit: str, edges: dict[int, int], m: Model) -> list[int]:
         best = min(pairs)
         if best == none:
             break
+        if ranks is not None:
+            ranks.append(best)
         k = pairs.index(best)
         del cut[k + 1], pairs[k]
         if k:
@@ -192,10 +223,54 @@ def _merge_long(unit: str, edges: dict[int, int], m: Model) -> list[int]:
 def edges_of(unit: str, m: Model) -> dict[int, int]:
     """The lattice of one unit, made in place."""
     n, ids = len(unit), m.ids
-    shift = 16 if n <= LONGEST else 32
+    shift = 16 if n <= _SHORT else 32
     return {s << shift | e: ids[unit[s:e]] for s in range(n) for e in range(s + 1, min(n, s + m.longest) + 1) if unit[s:e] in ids}
 
 
+def _bit(place: Column) -> Column:
+    return F.call_function("shiftleft", F.lit(1).cast("long"), place)
+
+
+def _inside(x: Column) -> Column:
+    """The places strictly inside an edge."""
+    return _bit(_end(x)) - F.call_function("shiftleft", F.lit(2).cast("long"), _start(x))
+
+
+#: An edge of a BPE lattice is a long: whether its piece is odd, rank, start, end and id.
+_ODD, _RANK, _START, _END, _ID = 60, 36, 30, 24, (1 << 24) - 1
+
+
+def _start(x: Column) -> Column:
+    return F.shiftright(x, _START).bitwiseAND(63).cast("int")
+
+
+def _end(x: Column) -> Column:
+    return F.shiftright(x, _END).bitwiseAND(63).cast("int")
+
+
+def fold(units: DataFrame) -> DataFrame:
+    """BPE: unit, n, edges to unit, n, ``ids``; null ids where the fold does not cover a unit.
+
+    A piece that is made by ever worse merges when it stands alone can only be made, wherever
+    it stands, when its rank is up: while its two ends stay cut, what happens between them is
+    what happens there alone.  So the edges are folded by rank, the leftmost of equals first,
+    and an edge merges if its ends are cut and one place between them is."""
+    ordered = units.select("unit", "n", F.sort_array("edges").alias("edges"), F.length("unit").alias("size"))
+
+    def step(cuts: Column, x: Column) -> Column:
+        within = cuts.bitwiseAND(_inside(x))
+        fits = (F.getbit(cuts, _start(x)) == 1) & (F.getbit(cuts, _end(x)) == 1) & (F.bit_count(within) == 1)
+        return F.when(fits, cuts.bitwiseXOR(within)).otherwise(cuts)
+
+    cut = ordered.withColumn("cuts", F.aggregate("edges", _bit(F.col("size") + 1) - 1, step))
+    cuts = F.col("cuts")
+    parts = F.filter("edges", lambda x: (F.getbit(cuts, _start(x)) == 1) & (F.getbit(cuts, _end(x)) == 1) & (cuts.bitwiseAND(_inside(x)) == 0))
+    placed = cut.select("unit", "n", "size", "edges", F.sort_array(F.transform(parts, lambda x: x.bitwiseAND((1 << _RANK) - 1))).alias("parts"))
+    covered = F.aggregate("parts", F.lit(0), lambda a, x: a + _end(x) - _start(x)) == F.col("size")
+    ids = F.transform("parts", lambda x: x.bitwiseAND(_ID).cast("int"))
+    return placed.select("unit", "n", F.when(covered & (F.element_at("edges", -1) < 1 << _ODD), ids).alias("ids"))
+
+
 def viterbi(unit: Column, edges: Column, least: float, unknown: int) -> Column:
     """Unigram: the path with the best sum of scores, as one higher-order fold over the
     edges (structs of e, s, id, score) by their ends; a character without an edge of its
@@ -231,30 +306,36 @@ def count_units(documents: DataFrame, m: Model) -> DataFrame:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         find = regex.compile(m.units).findall
-        held: Counter[str] = Counter()
+        held: Counter[str] = Counter()  # words that follow a space
+        others: Counter[str] = Counter()  # other runs
 
         def give() -> pa.RecordBatch:
             units: Counter[str] = Counter()
-            for run, k in held.items():
-                for u in find(run):
+            runs = [(m.prefixed(w), k) for w, k in held.items()]
+            for run, k in [*runs, *others.items()]:
+                for u in m.cut(run, find):
                     if len(u) <= LONGEST:
                         units[u] += k
             return pa.RecordBatch.from_arrays([pa.array(list(units), pa.string()), pa.array(list(units.values()), pa.int64())], names=["unit", "n"])
 
         for b in slices(batches):
             for t in utf8(b.column(0)).to_pylist():
-                held.update(m.runs(t))
-            if len(held) > _COUNTED:  # counts are sums: a part of them can go on at any time
+                words, run = m.words(t)
+                held.update(words)
+                if run:
+                    others[run] += 1
+            if len(held) + len(others) > _COUNTED:  # counts are sums: a part of them can go on at any time
                 yield give()
                 held.clear()
+                others.clear()
         yield give()
 
     return documents.select("text").mapInArrow(work, "unit string, n long").groupBy("unit").agg(F.sum("n").alias("n"))
 
 
 def piece_table(spark: SparkSession, m: Model) -> DataFrame:
-    rows = [(m.pieces[i], i, float(m.scores[i])) for i in m.normal]
-    return spark.createDataFrame(rows, "piece string, id int, score double")
+    rows = [(m.pieces[i], i, float(m.scores[i]), m.rank[i] << _RANK | i | (i in m.odd) << _ODD) for i in m.normal]
+    return spark.createDataFrame(rows, "piece string, id int, score double, edge long")
 
 
 #: Units in a partition while their edges are grouped, and the groups that an aggregation
@@ -264,55 +345,60 @@ _IN_MEMORY = "spark.sql.objectHashAggregate.sortBased.fallbackThreshold"
 
 
 def lattice(units: DataFrame, m: Model) -> DataFrame:
-    """unit, n and ``edges`` of every unit that has any: whole numbers that hold start, end and
-    id (16, 16 and 32 bits), for a unigram model structs of e, s, id and score.
+    """unit, n and ``edges`` of every unit that has any: longs for a BPE model, for a unigram
+    model structs of e, s, id and score.
 
     Units are dealt by hash; exploding, the broadcast join with the piece table and the
     grouping all happen where they are."""
-    spark = units.sparkSession
     size = F.length("unit")
     spans = units.select("unit", "n", F.explode(F.sequence(F.lit(0), size - 1)).alias("s")).select(
         "unit", "n", "s", F.explode(F.sequence(F.lit(1), F.least(F.lit(m.longest), size - F.col("s")))).alias("l")
     )
     parts = spans.withColumn("piece", F.substr("unit", F.col("s") + 1, F.col("l")))
-    table = small_or_shuffled(piece_table(spark, m), len(m.normal))
+    table = small_or_shuffled(piece_table(units.sparkSession, m), len(m.normal))
     found = parts.join(table, "piece")
     end = F.col("s") + F.col("l")
     if m.bpe:
-        # start * 65536 + end in the upper half, the id in the lower
-        edge = F.shiftleft(F.col("s").cast("long"), 48).bitwiseOR(F.shiftleft(end.cast("long"), 32)).bitwiseOR(F.col("id").cast("long"))
+        edge = F.col("edge").bitwiseOR(F.shiftleft(F.col("s").cast("long"), _START)).bitwiseOR(F.shiftleft(end.cast("long"), _END))
     else:
         edge = F.struct(end.alias("e"), "s", "id", "score")
     return found.groupBy("unit").agg(F.first("n").alias("n"), F.collect_list(edge).alias("edges"))
 
 
 def encode_units(units: DataFrame, m: Model) -> DataFrame:
-    """unit, n and ``ids`` (little-endian unsigned 32-bit) of every unit with an edge."""
-    spark = units.sparkSession
-    grouped = lattice(units.repartition(max(2, -(-units.count() // PART_UNITS)), "unit"), m)
-    if not m.bpe:
+    """unit, n and ``ids`` of every unit of the materialised table ``units``."""
+    # a session of its own, so that the setting holds for these plans alone
+    here = units.sparkSession
+    spark = here.newSession()
+    spark.conf.set("spark.sql.shuffle.partitions", here.conf.get("spark.sql.shuffle.partitions"))
+    spark.conf.set(_IN_MEMORY, str(50 * PART_UNITS))
+    mine = spark.read.schema(units.schema).parquet(units._pathloom_path)
+    grouped = lattice(mine.repartition(max(2, -(-mine.count() // PART_UNITS)), "unit"), m)
+    if m.bpe:
+        folded = fold(grouped)
+    else:
         ids = viterbi(F.col("unit"), F.col("edges"), min(m.scores[i] for i in m.normal), m.unknown)
-        grouped = grouped.select("unit", "n", ids.alias("ids"))
+        folded = grouped.select("unit", "n", ids.cast("array<int>").alias("ids"))
+        if m.byte:
+            folded = folded.withColumn("ids", F.when(~F.array_contains("ids", m.unknown), F.col("ids")))
+    folded = materialise(folded, "pieces-folded")
+    # units without any edge, and those that the fold does not cover
+    rest = mine.join(folded.where("ids is not null").select("unit"), "unit", "left_anti").select("unit", "n")
     shared = spark.sparkContext.broadcast(m)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for b in batches:
-            out = []
-            for unit, got in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), strict=True):
-                if m.bpe:
-                    got = merge(unit, {x >> 32: x & 0xFFFFFFFF for x in got}, m)
-                elif m.byte and m.unknown in got:
-                    got = _spelt(unit, got, m)
-                out.append(np.array(got, "<u4").tobytes())
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.binary())], names=["unit", "n", "ids"])
-
-    before = spark.conf.get(_IN_MEMORY)
-    spark.conf.set(_IN_MEMORY, str(50 * PART_UNITS))
-    try:
-        return materialise(grouped.mapInArrow(work, "unit string, n long, ids binary"), "pieces-units")
-    finally:
-        spark.conf.set(_IN_MEMORY, before)
+            ids = [_in_place(u, m) for u in b.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(ids, pa.list_(pa.int32()))], names=["unit", "n", "ids"])
+
+    left = materialise(rest.mapInArrow(work, "unit string, n long, ids array<int>"), "pieces-left")
+    out = [here.read.schema(t.schema).parquet(t._pathloom_path) for t in (folded, left)]
+    return out[0].where("ids is not null").unionByName(out[1])
+
+
+def _in_place(unit: str, m: Model) -> list[int]:
+    return merge(unit, edges_of(unit, m), m) if m.bpe else _plain_viterbi(unit, m)
 
 
 def _spelt(unit: str, ids: list[int], m: Model) -> list[int]:
@@ -330,96 +416,171 @@ def _spelt(unit: str, ids: list[int], m: Model) -> list[int]:
 # --- texts -----------------------------------------------------------------------
 
 
-def encode(documents: DataFrame, path: str | None = None, broadcast_units: int = BROADCAST_UNITS) -> DataFrame:
-    """doc_id and ``ids`` (little-endian unsigned 32-bit integers) of every document."""
+def _frequent(known: DataFrame, most: int) -> int:
+    """A count above which ``most`` units lie at most, from a histogram of bounded size."""
+    kind = F.floor(F.log2("n") * 8).cast("int")
+    found = known.groupBy(kind.alias("kind")).agg(F.count(F.lit(1)).alias("k"), F.max("n").alias("high")).orderBy(F.desc("kind")).collect()
+    total = 0
+    for r in found:
+        total += r["k"]
+        if total > most:
+            return r["high"]
+    return 0
+
+
+class Coder:
+    """Texts as ids, with holes where a unit is not among the ``table``'s.
+
+    A run's ids are kept as one array for many runs, ``flat``; a hole is ``HOLE`` plus the
+    number of its unit among ``units``, the units that the slice at hand asks for."""
+
+    HOLE = 1 << 31
+
+    def __init__(self, m: Model, table: dict[str, bytes]) -> None:
+        self.m, self.table = m, table
+        self.find = regex.compile(m.units).findall
+        self.seen: dict[str, int] = {}  # number of a run's ids
+        self.kept: list[bytes] = []
+
+    def _ids(self, run: str, units: dict[str, int]) -> bytes:
+        parts = []
+        for u in self.m.cut(run, self.find):
+            got = self.table.get(u)
+            if got is None:
+                if len(u) <= LONGEST:
+                    got = (self.HOLE + units.setdefault(u, len(units))).to_bytes(4, "little")
+                else:
+                    got = np.array(_in_place(u, self.m), "<u4").tobytes()
+            parts.append(got)
+        return b"".join(parts)
+
+    def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, list[str]]:
+        """All ids, where each text starts in them (and the end), and the units of the holes."""
+        m, units = self.m, {}
+        words: list[str] = []
+        cut = [0]
+        whole: dict[int, str] = {}
+        for t in texts:
+            more, run = m.words(t)
+            if run:
+                whole[len(words)] = run
+                words.append("")
+            words += more
+            cut.append(len(words))
+        # runs with a hole are known for this slice alone, as the numbers of its units are
+        new, extra = dict.fromkeys(words).keys() - self.seen.keys(), {}
+        kept = self.kept
+        local: list[bytes] = []
+        base = len(kept)
+        for w in new:
+            before = len(units)
+            got = self._ids(m.prefixed(w), units)
+            asks = len(units) > before or np.frombuffer(got, "<u4").max(initial=0) >= self.HOLE
+            if not asks and len(kept) < _REMEMBERED and not local:
+                self.seen[w] = len(kept)
+                kept.append(got)
+                base = len(kept)
+            else:
+                extra[w] = len(local)
+                local.append(got)
+        seen = self.seen
+        number = np.array([seen[w] if w in seen else base + extra[w] for w in words], np.int64)
+        if whole:
+            for at, run in whole.items():
+                number[at] = base + len(local)
+                local.append(self._ids(run, units))
+        data = [*kept, *local] if len(kept) + len(local) < 4 * len(number) else None
+        if data is None:  # few words: only what they need
+            wanted, number = np.unique(number, return_inverse=True)
+            data = [kept[i] if i < base else local[i - base] for i in wanted.tolist()]
+        flat = np.frombuffer(b"".join(data), "<u4")
+        size = np.fromiter(map(len, data), np.int64, len(data)) // 4
+        start = np.cumsum(size) - size
+        sizes = size[number]
+        ends = np.cumsum(sizes)
+        ids = flat[np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(start[number] - (ends - sizes), sizes)]
+        return ids, np.append(0, ends)[cut], list(units)
+
+
+def encode(documents: DataFrame, path: str | None = None, broadcast_units: int = BROADCAST_UNITS, texts: bool = False) -> DataFrame:
+    """doc_id and ``ids`` (little-endian unsigned 32-bit integers) of every document; with
+    ``texts`` also the ``text`` that they decode to."""
     spark = documents.sparkSession
     sc = spark.sparkContext
     m = Model.read(path or model_path())
     counts = materialise(count_units(documents, m), "pieces-counts")
+    release(spark)
     known = encode_units(counts, m)
     drop(counts)
-    # the most frequent units, a fixed number of them
-    top = known.orderBy(F.desc("n"), "unit").limit(broadcast_units).select("unit", "ids").toArrow()
-    often = sc.broadcast(dict(zip(top.column(0).to_pylist(), top.column(1).to_pylist(), strict=True)))
-    listed = small_or_shuffled(materialise(known.orderBy(F.desc("n"), "unit").limit(broadcast_units).select("unit"), "pieces-top"), broadcast_units)
-    rest = known.join(listed, "unit", "left_anti").select("unit", "ids")
+    release(spark)
+    above = _frequent(known, broadcast_units)
+    top = known.where(F.col("n") > above).select("unit", "ids").toArrow()
+    often = sc.broadcast({u: np.array(x, "<u4").tobytes() for u, x in zip(top.column(0).to_pylist(), top.column(1).to_pylist(), strict=True)})
+    del top
+    rest = known.where(F.col("n") <= above).select("unit", "ids")
     shared = sc.broadcast(m)
+    narrow = len(m.pieces) < 65535
+    wide, hole = ("<u2", 65535) if narrow else ("<u4", (1 << 32) - 1)
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Each text as ids, with holes (their places in ``ids``) where a unit is to be joined."""
-        m, table = shared.value, often.value
-        find = regex.compile(m.units).findall
+        """Each text as ids, and the units that its holes stand for, each once, with the
+        numbers of those in the order of the holes."""
+        coder = Coder(shared.value, often.value)
         pack = zstandard.ZstdCompressor(level=1).compress
-        seen: dict[str, tuple[bytes, tuple[int, ...], tuple[str, ...]]] = {}
-
-        def of(run: str) -> tuple[bytes, tuple[int, ...], tuple[str, ...]]:
-            """A run's ids, and where in them which units are to be joined."""
-            parts, at, where, which = [], 0, [], []
-            for u in find(run):
-                got = table.get(u)
-                if got is None:
-                    if len(u) <= LONGEST:
-                        where.append(at)
-                        which.append(u)
-                        continue
-                    got = np.array(merge(u, edges_of(u, m), m), "<u4").tobytes() if m.bpe else _plain_viterbi(u, m)
-                parts.append(got)
-                at += len(got)
-            return b"".join(parts), tuple(where), tuple(which)
-
+        task = TaskContext.get().partitionId() << 40
+        n = 0
         for b in slices(batches):
-            ids, holes, units = [], [], []
-            for t in utf8(b.column(2)).to_pylist():
-                parts, at, where, which = [], 0, [], []
-                for run in m.runs(t):
-                    got = seen.get(run)
-                    if got is None:
-                        got = of(run)
-                        if len(run) <= LONGEST and len(seen) < _REMEMBERED:
-                            seen[run] = got
-                    parts.append(got[0])
-                    if got[1]:
-                        where += [at + w for w in got[1]]
-                        which += got[2]
-                    at += len(got[0])
-                data = np.frombuffer(b"".join(parts), "<u4")
-                ids.append(pack(data.astype("<u2").tobytes() if len(m.pieces) < 65536 else data.tobytes()))
-                holes.append(where)
-                units.append(which)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(ids, pa.binary()), pa.array(holes, pa.list_(pa.int64())), pa.array(units, pa.list_(pa.string()))], names=["rid", "doc_id", "coded", "holes", "units"])
-
-    keyed = documents.select(F.xxhash64("doc_id", F.coalesce("text", F.lit(""))).alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), "text")
-    coded = materialise(keyed.mapInArrow(code, "rid long, doc_id long, coded binary, holes array<long>, units array<string>"), "pieces-coded")
-    # a rare unit once per text, however often it stands there
-    asked = coded.where(F.size("units") > 0).dropDuplicates(["rid"]).select("rid", F.explode(F.array_distinct("units")).alias("unit"))
-    # a unit without any edge has no row there: all its characters are spelt
-    answers = asked.join(rest, "unit", "left").groupBy("rid").agg(F.collect_list(F.struct("unit", "ids")).alias("x"))
-    answers = answers.select("rid", F.col("x.unit").alias("known"), F.col("x.ids").alias("answers"))
+            ids, cut, names = coder(utf8(b.column(1)).to_pylist())
+            at = np.flatnonzero(ids >= Coder.HOLE)
+            asked = (ids[at] - Coder.HOLE).astype(np.int64)
+            coded = ids.astype(wide)
+            coded[at] = hole
+            bounds = np.searchsorted(at, cut)
+            units, which = [], []
+            for a, z in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+                mine, place = np.unique(asked[a:z], return_inverse=True)
+                units.append([names[i] for i in mine.tolist()])
+                which.append(place.astype(np.int32))
+            packed = [pack(coded[a:z].tobytes()) for a, z in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)]
+            rid = np.arange(task + n, task + n + b.num_rows)
+            n += b.num_rows
+            yield pa.RecordBatch.from_arrays([pa.array(rid), b.column(0), pa.array(packed, pa.binary()), pa.array(units, pa.list_(pa.string())), pa.array(which, pa.list_(pa.int32()))], names=["rid", "doc_id", "coded", "units", "which"])
+
+    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    # rows are numbered when they are written, and read with these numbers ever after
+    coded = materialise(rows.mapInArrow(code, "rid long, doc_id long, coded binary, units array<string>, which array<int>"), "pieces-coded")
+    asked = coded.where(F.size("units") > 0).select("rid", F.posexplode("units").alias("k", "unit"))
+    answers = asked.join(rest, "unit").groupBy("rid").agg(F.collect_list(F.struct("k", "ids")).alias("answers"))
+    schema = "doc_id long, ids binary" + (", text string" if texts else "")
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
         unpack = zstandard.ZstdDecompressor().decompress
-        wide = "<u2" if len(m.pieces) < 65536 else "<u4"
+        spell = Speller(shared.value)
         for b in batches:
-            out = []
-            for data, holes, units, known, got in zip(*[b.column(i).to_pylist() for i in (1, 2, 3, 4, 5)], strict=True):
-                data = np.frombuffer(unpack(data), wide).astype("<u4").tobytes()
-                if holes:
-                    got = {u: x if x is not None else np.array([i for c in u for i in m.spell(c)], "<u4").tobytes() for u, x in zip(known, got, strict=True)}
-                    parts, at = [], 0
-                    for h, u in zip(holes, units, strict=True):
-                        parts += [data[at:h], got[u]]
-                        at = h
-                    data = b"".join([*parts, data[at:]])
-                out.append(data)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.binary())], names=["doc_id", "ids"])
-
-    joined = coded.where(F.size("holes") > 0).join(answers, "rid").select("doc_id", "coded", "holes", "units", "known", "answers")
-    whole = coded.where(F.size("holes") == 0).select("doc_id", "coded", "holes", "units", F.lit(None).cast("array<string>").alias("known"), F.lit(None).cast("array<binary>").alias("answers"))
-    return joined.unionByName(whole).mapInArrow(fill, "doc_id long, ids binary")
-
-
-def _plain_viterbi(unit: str, m: Model) -> bytes:
+            out, text = [], []
+            for data, which, got in zip(*[b.column(i).to_pylist() for i in (1, 2, 3)], strict=True):
+                ids = np.frombuffer(unpack(data), wide)
+                if which:
+                    found = {x["k"]: x["ids"] for x in got}
+                    whole = [found[k] for k in which]
+                    sizes = np.ones(len(ids), np.int64)
+                    at = np.flatnonzero(ids == hole)
+                    sizes[at] = [len(x) for x in whole]
+                    ids = np.repeat(ids, sizes)
+                    # what was repeated in a hole is what is still marked
+                    ids[ids == hole] = np.concatenate([np.array(x, wide) for x in whole])
+                out.append(ids.astype("<u4").tobytes())
+                if texts:
+                    text.append(spell(ids))
+            columns = [b.column(0), pa.array(out, pa.binary())] + ([pa.array(text, pa.string())] if texts else [])
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "ids", "text"][: len(columns)])
+
+    filled = coded.where(F.size("which") > 0).join(answers, "rid").select("doc_id", "coded", "which", "answers")
+    ready = coded.where(F.size("which") == 0).select("doc_id", "coded", "which", F.lit(None).cast("array<struct<k:int,ids:array<int>>>").alias("answers"))
+    return filled.unionByName(ready).mapInArrow(fill, schema)
+
+
+def _plain_viterbi(unit: str, m: Model) -> list[int]:
     """The unigram path of one long unit, position by position."""
     n, low = len(unit), min(m.scores[i] for i in m.normal) - 10
     best: list[tuple[float, int, int]] = [(0.0, 0, -1)] + [(-np.inf, 0, -1)] * n
@@ -436,41 +597,32 @@ def _plain_viterbi(unit: str, m: Model) -> bytes:
         _, at, i = best[at]
         ids.append(i)
     ids.reverse()
-    return np.array(_spelt(unit, ids, m) if m.byte else ids, "<u4").tobytes()
+    return _spelt(unit, ids, m) if m.byte else ids
 
 
-def decode_ids(ids: list[int], m: Model) -> str:
-    """The text of ids: pieces joined, byte pieces read as UTF-8, word marks as spaces."""
-    spelt = {i: b for b, i in m.byte.items()}
-    out = bytearray()
-    for i in ids:
-        if i in spelt:
-            out.append(spelt[i])
-        elif i == m.unknown:
-            out += " ⁇ ".encode()
-        else:
-            out += m.pieces[i].encode()
-    text = out.decode("utf-8", "replace").replace(MARK, " ")
-    return text[1:] if m.prefix and text.startswith(" ") else text
+class Speller:
+    """Texts of ids: pieces joined, byte pieces read as UTF-8, word marks as spaces."""
+
+    def __init__(self, m: Model) -> None:
+        self.table = [p.encode().replace(MARK.encode(), b" ") for p in m.pieces]
+        for byte, i in m.byte.items():
+            self.table[i] = bytes([byte])
+        self.table[m.unknown] = " ⁇ ".encode()
+        self.start = 1 if m.prefix else 0
+
+    def __call__(self, ids: np.ndarray) -> str:
+        data = b"".join(map(self.table.__getitem__, ids.tolist())).replace(MARK.encode(), b" ")
+        return (data[self.start :] if data[:1] == b" " else data).decode("utf-8", "replace")
 
 
 def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
     """doc_id, ids and ``text`` again."""
-    m = Model.read(path or model_path())
-    shared = encoded.sparkSession.sparkContext.broadcast(m)
+    shared = encoded.sparkSession.sparkContext.broadcast(Model.read(path or model_path()))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
-        table = [p.encode() for p in m.pieces]
-        for b, i in m.byte.items():
-            table[i] = bytes([b])
-        table[m.unknown] = " ⁇ ".encode()
-        mark, start = MARK.encode(), 1 if m.prefix else 0
-        for batch in batches:
-            out = []
-            for ids in batch.column(1).to_pylist():
-                data = b"".join(map(table.__getitem__, np.frombuffer(ids, "<u4").tolist())).replace(mark, b" ")
-                out.append((data[start:] if data[:1] == b" " else data).decode("utf-8", "replace"))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.string())], names=["doc_id", "ids", "text"])
+        spell = Speller(shared.value)
+        for b in batches:
+            text = [spell(np.frombuffer(ids, "<u4")) for ids in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(text, pa.string())], names=["doc_id", "ids", "text"])
 
     return encoded.select("doc_id", "ids").mapInArrow(work, "doc_id long, ids binary, text string")

@@ -1,4 +1,5 @@
 import itertools
+import random
 
 import numpy as np
 import pytest
@@ -26,16 +27,48 @@ def test_ids_are_those_of_the_library(spark, processor, often):
 
 def test_decoding_gives_the_text_back(spark, processor):
     encoded = pieces.encode(documents(spark))
+    spell = pieces.Speller(pieces.Model.read(pieces.model_path()))
     for r in pieces.decode(encoded).where("doc_id is not null").collect():
         want = (texts()[r.doc_id] or "").replace("▁", " ")
         assert r.text == want
-        assert pieces.decode_ids(processor.encode(texts()[r.doc_id] or ""), pieces.Model.read(pieces.model_path())) == want
+        assert spell(np.array(processor.encode(texts()[r.doc_id] or ""), np.int64)) == want
 
 
 def test_empty_table(spark):
     assert pieces.decode(pieces.encode(empty(spark))).count() == 0
 
 
+def test_the_fold_is_the_merging(spark):
+    """Units of pieces, of parts of pieces and of noise, against merging one by one."""
+    m = pieces.Model.read(pieces.model_path())
+    assert 0 < len(m.odd) < 50
+    r = random.Random(4)
+    some = [m.pieces[i] for i in m.normal]
+    units = {"".join(r.choice(some)[: r.randrange(1, 9)] for _ in range(r.randrange(1, 5)))[:61] for _ in range(4000)}
+    units |= {m.pieces[i] + x for i in m.odd for x in ("", "a", "e", " ")} | {"a" * n for n in (1, 2, 3, 7, 60, 61)} | {"日本", "x日", "é" * 61, "0" * 61}
+    units = {u.replace(" ", "▁") for u in units}
+    df = pieces.materialise(spark.createDataFrame([(u, 1) for u in units], "unit string, n long"), "test-units")
+    got = {x.unit: x.ids for x in pieces.encode_units(df, m).collect()}
+    assert got == {u: pieces.merge(u, pieces.edges_of(u, m), m) for u in units}
+    folded = pieces.fold(pieces.lattice(df, m)).where("ids is null").count()
+    assert folded < len(units) / 4
+
+
+def test_texts_beside_ids(spark, processor):
+    for r in pieces.encode(documents(spark), broadcast_units=5, texts=True).where("doc_id is not null").collect():
+        assert r.text == (texts()[r.doc_id] or "").replace("▁", " ")
+
+
+def test_long_units_and_many_rare_ones(spark, processor, monkeypatch):
+    monkeypatch.setattr(pieces, "_REMEMBERED", 7)
+    r = random.Random(1)
+    word = lambda n: "".join(r.choice("abcdeé日 ") for _ in range(n))
+    data = [(i, word(r.randrange(0, 200)) + "y" * r.choice([0, 61, 62, 63, 400]) + " " + word(30)) for i in range(60)]
+    for often in (0, 20):
+        got = pieces.encode(spark.createDataFrame(data, "doc_id long, text string"), broadcast_units=often).collect()
+        assert {x.doc_id: np.frombuffer(x.ids, "<u4").tolist() for x in got} == {i: processor.encode(t) for i, t in data}
+
+
 def test_viterbi_is_the_best_path(spark):
     table = {"a": -3.0, "b": -3.5, "ab": -4.0, "ba": -2.0, "aba": -4.5, "bab": -9.0, "aa": -3.2}
     rows = [(u, [(s + n, s, k, table[u[s : s + n]]) for s in range(len(u)) for n in (1, 2, 3) for k, p in enumerate(table) if u[s : s + n] == p and s + n <= len(u)]) for n in range(1, 7) for u in map("".join, itertools.product("abc", repeat=n))]
