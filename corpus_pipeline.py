@@ -6,7 +6,10 @@ All stages but the last return the columns of documents (``n_chars`` follows ``t
 1. toxicity: documents scored as toxic go;
 2. lines: boilerplate lines go out of the texts that have others;
 3. near_dups: of each class of near-duplicates the document with the smallest id stays;
-4. repeats: byte strings that repeat go out of the texts (halves of cut characters too);
+4. repeats: passages of over 50 words that repeat go out of the texts: spans of repeated
+   strings of PASSAGE_BYTES bytes with PASSAGE_WORDS words or more.  As in the operator every
+   copy goes, the first one too (what is left of cut characters also), so a document of nothing
+   but such passages becomes empty;
 5. packing: the texts are packed into sequences of tokens.
 """
 
@@ -19,6 +22,12 @@ from pathloom.llm import lines, near_dups, packing, repeats, toxicity
 from pathloom.llm.common import new_path, original
 
 
+#: Words from which a repeated passage goes, and bytes of the strings that it is made of (so
+#: many words have more, even words of two letters).
+PASSAGE_WORDS = 51
+PASSAGE_BYTES = 150
+
+
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic")
     model = toxicity.learn(docs, labels)
@@ -26,7 +35,7 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def lines_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _counted(original(lines.remove_boilerplate(docs, most_removed=None), docs.columns))
+    return _counted(original(lines.remove_boilerplate(docs), docs.columns))
 
 
 def near_dups_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,7 +43,7 @@ def near_dups_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def repeats_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    out = repeats.remove_repeats(docs).withColumn("text", F.col("__text"))
+    out = repeats.remove_repeats(docs, length=PASSAGE_BYTES, words=PASSAGE_WORDS).withColumn("text", F.col("__text"))
     return _counted(original(out, docs.columns))
 
 
