@@ -1,10 +1,12 @@
 """Toxic spans by a linear-chain conditional random field (operator 9).
 
 Tokens are runs of letters and digits; a token's features are hashes of the word (ASCII
-letters in lower case), of its first 3 to 6 bytes and of its last 3 bytes.  Documents are
+letters in lower case), of its first 4 to 7 bytes and of its last 3 bytes.  Documents are
 labelled, tokens are not, so a token of a toxic document is labelled toxic if one of its
-features is tied to toxic documents beyond chance (a likelihood ratio against the number
-of features tested), and not much less than the best one in the document.  The field is trained on those labelled tokens.  Forward-backward
+features is tied to toxic documents beyond chance (a likelihood ratio over the different
+words that have it, against the number of features tested), and not much less than the best
+one in the document; in further passes over the toxic documents that are left unexplained
+rarer signs stand out.  The field is trained on those labelled tokens.  Forward-backward
 marginals give offending spans; a logistic curve over the marginals of a document, fitted
 on the same documents, gives its score.
 
@@ -47,12 +49,21 @@ OFFENDS = 0.5
 #: Share of its document's strongest tie that a token's tie must have to label it.
 RIVAL = 0.4
 THRESHOLD = 0.7
+#: Log odds against a tie by chance, over the number of features tested, and passes over the
+#: documents that no tie explains yet.
+CHANCE = 2.0
+PASSES = 6
+#: Different words of a document that count for a feature at most, the share of all such words
+#: that toxic documents must have, and the share of the bar that their mere number must pass.
+WORDS = 4
+RATE = 0.7
+DOCS = 0.4
 _U = np.uint64
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _TOKEN = np.zeros(256, bool)
 _TOKEN[48:58] = _TOKEN[65:91] = _TOKEN[97:123] = _TOKEN[128:] = True
-_HEADS, _TAIL = (3, 4, 5, 6), 3
+_HEADS, _TAIL = (4, 5, 6, 7), 3
 _KINDS = len(_HEADS) + 2
 _LANE = 64
 
@@ -188,18 +199,57 @@ def curve(x: np.ndarray, w: np.ndarray) -> np.ndarray:
 
 def tied_features(texts: list[str], toxic: np.ndarray) -> np.ndarray:
     """How much each feature bucket speaks for toxic documents: a log likelihood ratio, 0 for
-    those that also occur in others or could be tied by chance, given how many are tested."""
-    total, hits = np.zeros(BUCKETS), np.zeros(BUCKETS)
+    those that also occur in others or could be tied by chance, given how many are tested.
+
+    Toxic documents that a tied feature explains are left out of the next pass, in which the
+    rarer signs of the others stand out, until a pass ties nothing more."""
+    tied = np.zeros(BUCKETS)
+    open_ = np.ones(len(toxic), bool)
+    for _ in range(PASSES):
+        found = _tied(texts, toxic, open_)
+        tied = np.maximum(tied, found)
+        explained = np.zeros(len(toxic), bool)
+        for at, _, row, f in _sliced(texts):
+            explained[at + row[found[f].any(1)]] = True
+        before = int((open_ & toxic).sum())
+        open_ &= ~(explained & toxic)
+        left = int((open_ & toxic).sum())
+        if left in (0, before):
+            break
+    return tied
+
+
+def _tied(texts: list[str], toxic: np.ndarray, open_: np.ndarray) -> np.ndarray:
+    """One pass over the documents that are ``open_``."""
+    total, hits, docs, bad = (np.zeros(BUCKETS) for _ in range(4))
     for at, _, row, f in _sliced(texts):
-        key = np.unique(((row + at)[:, None] * np.int64(BUCKETS) + f).ravel())  # a feature once a document
-        total += np.bincount(key % BUCKETS, minlength=BUCKETS)
-        hits += np.bincount(key % BUCKETS, weights=toxic[key // BUCKETS].astype(float), minlength=BUCKETS)
-    share = toxic.mean()
-    rate = hits / np.maximum(total, 1)
-    with np.errstate(divide="ignore", invalid="ignore"):
-        gain = hits * np.log(rate / share) + np.where(total > hits, (total - hits) * np.log((1 - rate) / (1 - share)), 0.0)
-    gain = np.nan_to_num(gain, nan=0.0, posinf=0.0, neginf=0.0)
-    return np.where((rate > 0.9) & (gain > np.log(max(2, (total > 0).sum())) + 2), gain, 0.0)
+        here = open_[at + row]
+        row, f = row[here].astype(np.int64), f[here].astype(np.int64)
+        # the different words of a document that have a feature: a stem has several
+        key = np.unique((row[:, None] << 40 | f << 20 | f[:, :1]).ravel()) >> 20
+        key, words = np.unique(key, return_counts=True)
+        words = np.minimum(words, WORDS)
+        which, y = key & BUCKETS - 1, toxic[at + (key >> 20)].astype(float)
+        total += np.bincount(which, words, BUCKETS)
+        hits += np.bincount(which, words * y, BUCKETS)
+        docs += np.bincount(which, minlength=BUCKETS)
+        bad += np.bincount(which, y, BUCKETS)
+    share = toxic[open_].mean()
+
+    def speaks(n: np.ndarray, k: np.ndarray) -> np.ndarray:
+        rate = k / np.maximum(n, 1)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            gain = k * np.log(rate / share) + np.where(n > k, (n - k) * np.log((1 - rate) / (1 - share)), 0.0)
+        return np.where(rate > share, np.nan_to_num(gain, nan=0.0, posinf=0.0, neginf=0.0), 0.0)
+
+    # a feature of too few documents can't be tied whatever they are, so it isn't a test: the
+    # tests are the features of as many documents as it takes for one among so many tests
+    known = np.bincount(docs.astype(np.int64))
+    tests = known[::-1].cumsum()[::-1]
+    least = next((k for k in range(1, len(tests)) if k * -np.log(share) > np.log(max(2, tests[k])) + CHANCE), len(tests))
+    bar = np.log(max(2, tests[least])) + CHANCE if least < len(tests) else np.inf
+    gain = speaks(total, hits)
+    return np.where((hits > RATE * total) & (gain > bar) & (speaks(docs, bad) > DOCS * bar), gain, 0.0)
 
 
 def _sliced(texts: list[str]) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:

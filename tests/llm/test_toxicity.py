@@ -1,4 +1,5 @@
 import itertools
+import os
 import random
 
 import numpy as np
@@ -102,3 +103,32 @@ def test_the_sample_goes_down_the_hash_order():
     assert pick([2000, *[10] * 399], clean, 500, 1000) == list(range(1, 101))
     assert pick([900, *[1] * 399], clean, 500, 1000) == list(range(1, 400))
     assert pick([1] * 400, clean, 400, 1000) == list(range(400))
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="the driver's tables are not here")
+def test_recall_on_labelled_documents(spark):
+    from pathloom.llm import catalog
+
+    sf = "/root/testdata/sf0.01"
+    out = catalog.op9_toxicity(spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet").select("doc_id", "toxic"), "doc_id").where("held_out").select("toxic", "predicted").collect()
+    toxic = [r.predicted for r in out if r.toxic == 1]
+    assert sum(toxic) >= 0.85 * len(toxic)
+    assert sum(r.predicted for r in out if r.toxic == 0) <= 0.02 * len(out)
+
+
+def test_stems_of_different_words_are_tied():
+    r = random.Random(7)
+    texts, toxic = [], []
+    for i in range(240):
+        words = ["".join(r.choice("abcdefghij") for _ in range(9)) for _ in range(r.randrange(10, 80))]
+        bad = i % 12 == 0
+        for k in range(3 if bad else r.random() < 0.05):  # toxic texts have several words of the stem, some others have one
+            words.insert(r.randrange(len(words)), "zorkel" + "".join(r.choice("mnopq") for _ in range(4)))
+        texts.append(" ".join(words))
+        toxic.append(bad)
+    m = toxicity.train(texts, np.array(toxic))
+    data, ends = toxicity.bytes_of(toxicity.utf8(toxicity.pa.array(texts, toxicity.pa.large_string())))
+    starts, stops, row, p = m.tag(data, ends)
+    called = toxicity.curve(toxicity.document_inputs(p, row, len(texts)), m.curve) >= toxicity.THRESHOLD
+    assert (called == np.array(toxic)).mean() > 0.97
+    assert all(data[a:z].tobytes().startswith(b"zorkel") for a, z in zip(starts[p > 0.5], stops[p > 0.5], strict=True))
