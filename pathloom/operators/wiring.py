@@ -28,31 +28,45 @@ def wire(participants: DataFrame, approach: str = "regulatory", drop_reactions:
     that all stand in one tier are paired with each other if they are alike in role and
     stoichiometry, and have no edges otherwise.
 
-    All of a reaction's rows meet in one hash partition by r_id; the tiers present are
-    ranked by a window and joined to the next rank, so nothing crosses reactions."""
+    Participants of unknown role have no tier and no edges.
+
+    Participants are dealt by reaction once.  A reaction's shape (its tiers, a bounded set) is
+    an aggregate, from which every participant knows the next tier, so the only other shuffle
+    is the join of (reaction, tier), which deals a large reaction out by its tiers."""
     tiers = tier_of(approach)
     p = participants.select("r_id", "sc_id", "sbo_term", F.col("stoichiometry").cast("double").alias("stoichiometry"))
-    shape = p.groupBy("r_id").agg(F.count(F.lit(1)).alias("n"), F.bool_and(F.col("sbo_term") == INTERACTOR).alias("pair"))
-    pairs = shape.where("n = 2 and pair").select("r_id")
-    duo = p.join(pairs, "r_id", "left_semi").groupBy("r_id").agg(F.min("sc_id").alias("src"), F.max("sc_id").alias("dst"))
-    duo = duo.select("src", "dst", F.lit(INTERACTOR).alias("sbo_term_upstream"), F.lit(INTERACTOR).alias("sbo_term_downstream"), F.lit(0.0).alias("stoichiometry_upstream"), F.lit(0.0).alias("stoichiometry_downstream"), "r_id")
-    rest = p.join(pairs, "r_id", "left_anti").withColumn("tier", S.mapped(S.role_name(F.col("sbo_term")), tiers))
-    by = rest.groupBy("r_id").agg(
-        F.countDistinct("tier").alias("n_tiers"), F.count(F.lit(1)).alias("n_members"), F.countDistinct(F.struct("sbo_term", "stoichiometry")).alias("n_kinds")
+    base = p.withColumn("tier", S.mapped(S.role_name(F.col("sbo_term")), tiers)).repartition("r_id")
+    kind = F.struct("sbo_term", "stoichiometry")
+    shape = base.groupBy("r_id").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.bool_and(F.col("sbo_term") == INTERACTOR).alias("pair"),
+        F.min("sc_id").alias("first"),
+        F.max("sc_id").alias("last"),
+        F.collect_set("tier").alias("tiers"),
+        F.min(kind).eqNullSafe(F.max(kind)).alias("alike"),
+    )
+    is_pair = F.coalesce((F.col("n") == 2) & F.col("pair"), F.lit(False))
+    keep = {"always": F.lit(False), "edgelist": F.col("n") != 2, "same_tier": F.lit(True)}[drop_reactions]
+    shape = shape.select("r_id", "first", "last", is_pair.alias("is_pair"), F.size("tiers").alias("n_tiers"), "alike", keep.alias("keep"), "tiers")
+    every = F.when(F.col("keep"), F.array_union("tiers", F.array(F.lit(tiers["reaction"])))).otherwise(F.col("tiers"))
+    shape = shape.withColumn("tiers", every)
+    duo = shape.where("is_pair").select(
+        F.col("first").alias("src"), F.col("last").alias("dst"), F.lit(INTERACTOR).alias("sbo_term_upstream"), F.lit(INTERACTOR).alias("sbo_term_downstream"), F.lit(0.0).alias("stoichiometry_upstream"), F.lit(0.0).alias("stoichiometry_downstream"), "r_id"
     )
-    one = by.where("n_tiers = 1 and n_kinds = 1").select("r_id")
+    rest = base.join(shape.where("NOT is_pair").select("r_id", "n_tiers", "alike", "tiers"), "r_id")
     number = F.row_number().over(Window.partitionBy("r_id").orderBy("sc_id"))
-    alike = rest.join(one, "r_id", "left_semi").withColumn("k", number)
+    alike = rest.where("n_tiers = 1 AND alike").withColumn("k", number)
     a = alike.select("r_id", F.col("k").alias("i"), F.col("sc_id").alias("src"), F.col("sbo_term").alias("sbo_term_upstream"), F.col("stoichiometry").alias("stoichiometry_upstream"))
     b = alike.select("r_id", F.col("k").alias("j"), F.col("sc_id").alias("dst"), F.col("sbo_term").alias("sbo_term_downstream"), F.col("stoichiometry").alias("stoichiometry_downstream"))
     same = a.join(b, "r_id").where("i < j").select(*EDGE)
-    several = by.where("n_tiers > 1")
-    keep = {"always": F.lit(False), "edgelist": F.col("n_members") != 2, "same_tier": F.lit(True)}[drop_reactions]
-    members = rest.join(several.select("r_id"), "r_id", "left_semi").select("r_id", F.col("sc_id").alias("node"), "sbo_term", "stoichiometry", "tier")
-    own = several.where(keep).select("r_id", F.col("r_id").alias("node"), F.lit(None).cast("string").alias("sbo_term"), F.lit(None).cast("double").alias("stoichiometry"), F.lit(tiers["reaction"]).alias("tier"))
-    ranked = members.unionByName(own).withColumn("k", F.dense_rank().over(Window.partitionBy("r_id").orderBy("tier")))
-    up = ranked.select("r_id", "k", F.col("node").alias("src"), F.col("sbo_term").alias("sbo_term_upstream"), F.col("stoichiometry").alias("stoichiometry_upstream"))
-    down = ranked.select("r_id", (F.col("k") - 1).alias("k"), F.col("node").alias("dst"), F.col("sbo_term").alias("sbo_term_downstream"), F.col("stoichiometry").alias("stoichiometry_downstream"))
+    members = rest.where("n_tiers > 1 AND tier IS NOT NULL").select("r_id", F.col("sc_id").alias("node"), "sbo_term", "stoichiometry", "tier", "tiers")
+    own = shape.where("NOT is_pair AND n_tiers > 1 AND keep").select(
+        "r_id", F.col("r_id").alias("node"), F.lit(None).cast("string").alias("sbo_term"), F.lit(None).cast("double").alias("stoichiometry"), F.lit(tiers["reaction"]).alias("tier"), "tiers"
+    )
+    placed = members.unionByName(own)
+    above = F.array_min(F.filter("tiers", lambda t: t > F.col("tier")))
+    up = placed.select("r_id", above.alias("k"), F.col("node").alias("src"), F.col("sbo_term").alias("sbo_term_upstream"), F.col("stoichiometry").alias("stoichiometry_upstream")).where("k IS NOT NULL")
+    down = placed.select("r_id", F.col("tier").alias("k"), F.col("node").alias("dst"), F.col("sbo_term").alias("sbo_term_downstream"), F.col("stoichiometry").alias("stoichiometry_downstream"))
     cross = up.join(down, ["r_id", "k"]).select(*EDGE)
     return duo.select(*EDGE).unionByName(same).unionByName(cross)
 

@@ -465,17 +465,21 @@ def _(t: Tables) -> DataFrame:
 # --- wiring ----------------------------------------------------------------------
 
 
-def _wire_sql(approach: str, drop: str) -> str:
+def _wire_sql(approach: str, drop: str, source: str = "participants") -> str:
     tiers = wiring.tier_of(approach)
     case = "CASE sbo_term " + " ".join(f"WHEN '{V.ROLE_CODES[r]}' THEN {k}" for r, k in tiers.items() if r != "reaction") + " END"
     keep = {"always": "false", "edgelist": "n <> 2", "same_tier": "true"}[drop]
-    return f"""m AS (SELECT r_id, sc_id AS node, sbo_term, stoichiometry AS s, {case} AS tier FROM participants),
-    g AS (SELECT r_id, count(DISTINCT tier) AS t, count(*) AS n, count(DISTINCT (sbo_term, s)) AS k FROM m GROUP BY 1),
-    e AS (SELECT m.* FROM m JOIN g USING (r_id) WHERE t > 1 UNION ALL SELECT r_id, r_id, NULL, NULL, {tiers['reaction']} FROM g WHERE t > 1 AND {keep}),
-    d AS (SELECT *, dense_rank() OVER (PARTITION BY r_id ORDER BY tier) AS o FROM e),
-    q AS (SELECT m.*, row_number() OVER (PARTITION BY r_id ORDER BY node) AS i FROM m JOIN g USING (r_id) WHERE t = 1 AND k = 1)
-    SELECT a.node AS src, b.node AS dst, a.sbo_term AS sbo_term_upstream, b.sbo_term AS sbo_term_downstream, a.s AS stoichiometry_upstream, b.s AS stoichiometry_downstream, a.r_id FROM d a JOIN d b ON a.r_id = b.r_id AND a.o + 1 = b.o
-    UNION ALL SELECT a.node, b.node, a.sbo_term, b.sbo_term, a.s, b.s, a.r_id FROM q a JOIN q b ON a.r_id = b.r_id AND a.i < b.i"""
+    pair = V.ROLE_CODES["interactor"]
+    # materialised, and joined on one key, so that every plan of it is a hash join
+    return f"""m AS MATERIALIZED (SELECT r_id, sc_id AS node, sbo_term, stoichiometry AS s, {case} AS tier FROM {source}),
+    g AS MATERIALIZED (SELECT r_id, count(DISTINCT tier) AS t, count(*) AS n, count(DISTINCT (sbo_term, s)) AS k, count(*) = 2 AND bool_and(sbo_term = '{pair}') AS two FROM m GROUP BY 1),
+    e AS (SELECT m.* FROM m JOIN g USING (r_id) WHERE t > 1 AND NOT two AND tier IS NOT NULL UNION ALL SELECT r_id, r_id, NULL::VARCHAR, NULL::DOUBLE, {tiers['reaction']} FROM g WHERE t > 1 AND NOT two AND {keep}),
+    d AS MATERIALIZED (SELECT *, dense_rank() OVER (PARTITION BY r_id ORDER BY tier) AS o FROM e),
+    q AS MATERIALIZED (SELECT m.*, row_number() OVER (PARTITION BY r_id ORDER BY node) AS i FROM m JOIN g USING (r_id) WHERE t = 1 AND k = 1 AND NOT two)
+    SELECT a.node AS src, b.node AS dst, a.sbo_term AS sbo_term_upstream, b.sbo_term AS sbo_term_downstream, a.s AS stoichiometry_upstream, b.s AS stoichiometry_downstream, a.r_id
+      FROM (SELECT *, r_id || ' ' || (o + 1) AS j FROM d) a JOIN (SELECT *, r_id || ' ' || o AS j FROM d) b ON a.j = b.j
+    UNION ALL SELECT a.node, b.node, a.sbo_term, b.sbo_term, a.s, b.s, a.r_id FROM q a JOIN q b ON a.r_id = b.r_id AND a.i < b.i
+    UNION ALL SELECT min(node), max(node), '{pair}', '{pair}', 0.0::DOUBLE, 0.0::DOUBLE, r_id FROM m JOIN g USING (r_id) WHERE two GROUP BY r_id"""
 
 
 for _approach in V.TIERS:
@@ -486,6 +490,18 @@ for _approach in V.TIERS:
             return wiring.wire(t.participants(), approach, drop)
 
 
+@query(
+    "wire_interactors",
+    "x AS MATERIALIZED (SELECT * REPLACE (CASE WHEN split_part(rsc_id, '-', 1)::BIGINT % 3 = 0 THEN 'SBO:0000336' ELSE sbo_term END AS sbo_term) FROM participants WHERE split_part(rsc_id, '-', 2)::INT < 3),\n    "
+    + _wire_sql("regulatory", "same_tier", "x"),
+    ["participants"],
+)
+def _(t: Tables) -> DataFrame:
+    part = F.split("rsc_id", "-")
+    p = t.participants().where(part[1].cast("int") < 3)
+    return wiring.wire(p.withColumn("sbo_term", F.when(part[0].cast("long") % 3 == 0, V.ROLE_CODES["interactor"]).otherwise(F.col("sbo_term"))))
+
+
 @query("bipartite_edges", "SELECT CASE WHEN stoichiometry <= 0 THEN sc_id ELSE r_id END AS src, CASE WHEN stoichiometry <= 0 THEN r_id ELSE sc_id END AS dst, stoichiometry, sbo_term, r_id FROM participants", ["participants"])
 def _(t: Tables) -> DataFrame:
     return wiring.bipartite(t.participants())
