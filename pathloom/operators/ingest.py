@@ -80,7 +80,7 @@ def evidence_roles(directed: Column, stimulates: Column, inhibits: Column) -> Co
 def repaired_consensus(df: DataFrame) -> DataFrame:
     """Consensus flags that both stand although neither evidence flag does are cleared."""
     wrong = F.col("consensus_stimulation") & F.col("consensus_inhibition") & ~F.col("is_stimulation") & ~F.col("is_inhibition")
-    return df.withColumn("consensus_stimulation", F.col("consensus_stimulation") & ~wrong).withColumn("consensus_inhibition", F.col("consensus_inhibition") & ~wrong)
+    return df.withColumns({c: F.col(c) & ~wrong for c in ("consensus_stimulation", "consensus_inhibition")})
 
 
 def listed_identifiers(df: DataFrame, key: str, column: str, aliases: dict[str, str], known: list[str]) -> DataFrame:

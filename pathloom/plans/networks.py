@@ -73,11 +73,25 @@ def _(t: Tables) -> DataFrame:
     return traverse.prune_neighbours(t.trade().select(F.col("src").alias("focal"), F.col("dst").alias("name"), "n"), 3, "n")
 
 
-@query("shortest_paths")
+_REACH = "o AS (SELECT min(src::VARCHAR) AS origin FROM trade), e AS (SELECT src::VARCHAR AS src, dst::VARCHAR AS dst, weight FROM trade), s0 AS (SELECT origin AS name, 0.0::DOUBLE AS d FROM o)" + "".join(
+    f", s{k} AS (SELECT name, min(d) AS d FROM (SELECT * FROM s{k - 1} UNION ALL SELECT e.dst, s.d + e.weight FROM s{k - 1} s JOIN e ON e.src = s.name) GROUP BY 1)" for k in range(1, 11)
+)
+
+
+@query(
+    "shortest_paths",
+    _REACH
+    + """, f AS (SELECT e.src, e.dst FROM e JOIN s10 a ON a.name = e.src JOIN s10 b ON b.name = e.dst WHERE abs(a.d + e.weight - b.d) < 1e-9),
+    p AS (SELECT origin AS here, origin AS path FROM o UNION ALL SELECT f.dst, p.path || '>' || f.dst FROM p JOIN f ON f.src = p.here)
+    SELECT here AS dest, path, round(d, 6) AS distance FROM p JOIN s10 ON name = here WHERE here <> (SELECT origin FROM o)""",
+    ["trade"],
+    recursive=True,
+)
 def _(t: Tables) -> DataFrame:
-    targets = t.nation.select(F.col("n_nationkey").alias("name"))
     e = t.trade().select(F.col("src").cast("string").alias("src"), F.col("dst").cast("string").alias("dst"), "weight")
-    return traverse.shortest_paths(e, "0", targets.select(F.col("name").cast("string").alias("name")), "weight").select("dest", F.array_join("path", ">").alias("path"), F.round("distance", 6).alias("distance"))
+    origin = e.agg(F.min("src")).first()[0] or "0"
+    targets = t.nation.select(F.col("n_nationkey").cast("string").alias("name"))
+    return traverse.shortest_paths(e, origin, targets, "weight").select("dest", F.array_join("path", ">").alias("path"), F.round("distance", 6).alias("distance"))
 
 
 @query(
@@ -230,10 +244,19 @@ def _(t: Tables) -> DataFrame:
     return out.select("source_geneset", "target_geneset", "n_observed", "n_universe", *[F.round(c, 6).alias(c) for c in ("expected", "odds_ratio", "p_value")])
 
 
-@query("edgelist_ora_binomial")
+@query(
+    "edgelist_ora_binomial",
+    f"""WITH {_EDGES}, x AS (SELECT a.geneset AS source_geneset, b.geneset AS target_geneset, count(*) AS n FROM u JOIN g a ON a.member = src JOIN g b ON b.member = dst GROUP BY 1, 2),
+    y AS (SELECT a.geneset AS source_geneset, b.geneset AS target_geneset, count(*) AS n FROM o JOIN g a ON a.member = src JOIN g b ON b.member = dst GROUP BY 1, 2),
+    z AS (SELECT source_geneset, target_geneset, coalesce(y.n, 0) AS k, x.n AS bk, (SELECT count(*) FROM o) AS n, x.n::DOUBLE / (SELECT count(*) FROM u) AS p FROM x LEFT JOIN y USING (source_geneset, target_geneset)),
+    w AS (SELECT *, unnest(range(k, n + 1)) AS i FROM z)
+    SELECT source_geneset, target_geneset, any_value(k) AS n_observed, any_value(bk) AS n_universe, round(any_value(n * p), 6) AS expected,
+      round(least(1.0, sum(exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln(p) + (n - i) * ln(1 - p)))), 4) AS p_value FROM w GROUP BY 1, 2""",
+)
 def _(t: Tables) -> DataFrame:
     o, u, g = _edges(t)
-    return enrichment.edgelist_ora(o, g, u, test="binomial")
+    out = enrichment.edgelist_ora(o, g, u, test="binomial")
+    return out.select("source_geneset", "target_geneset", "n_observed", "n_universe", F.round("expected", 6).alias("expected"), F.round("p_value", 4).alias("p_value"))
 
 
 @query(
