@@ -46,3 +46,27 @@ def test_large_components():
     v = np.array([[2**30, -(2**30), 5]], np.int64)
     _, ids, score = topk.search_block(np.array([0]), v[:, :1], np.arange(3), v, 2)
     assert list(zip(ids.tolist(), score.tolist(), strict=True)) == [(2, 5 * 2**30), (1, -(2**60))]
+
+
+def test_pairs_are_dropped_early():
+    r = np.random.default_rng(2)
+    ids = np.arange(4000)
+    falling = np.floor(256 * r.normal(size=(64, 4000)) * np.exp(-np.arange(64) / 8)[:, None]).astype(np.int64)
+    alive: list[float] = []
+    topk.search_block(ids[::50], falling[:, ::50], ids, falling, 5, alive=alive)
+    assert alive[32 // topk.STEP - 1] < 0.05
+    # random directions: nothing goes early, but with a floor most goes before the end
+    even = r.normal(size=(64, 4000))
+    even = np.floor(256 * even / np.linalg.norm(even, axis=0)).astype(np.int64)
+    score = (even.T @ even)[::50]
+    floors = np.sort(score, axis=1)[:, -6].astype(float)
+    alive = []
+    topk.search_block(ids[::50], even[:, ::50], ids, even, 5, floors, alive)
+    assert alive[48 // topk.STEP - 1] < 0.3 and alive[-1] < 0.05
+    for f in (None, floors):
+        rows, found, best = topk.search_block(ids[::50], even[:, ::50], ids, even, 5, f)
+        for j in range(80):
+            s = score[j].copy()
+            s[j * 50] = -(10**9)
+            want = sorted(zip((-s).tolist(), ids.tolist(), strict=True))[:5]
+            assert [(-x, y) for x, y in zip(best[rows == j].tolist(), found[rows == j].tolist(), strict=True)] == want
