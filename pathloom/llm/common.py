@@ -14,11 +14,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows up to which a side of a join may be broadcast (a few longs each: some tens of MB).
-BROADCAST_ROWS = 500_000
+BROADCAST_ROWS = 300_000
 #: Bytes up to which a side whose rows hold arrays may be broadcast.
-BROADCAST_BYTES = 64 << 20
+BROADCAST_BYTES = 16 << 20
 #: Bytes of text worked on at once inside a task; a longer text is a slice of its own.
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 19
 
 
 # --- intermediate tables ---------------------------------------------------------
@@ -31,7 +31,7 @@ def shared_dir(spark: SparkSession) -> str:
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if found:
         return found.rstrip("/")
-    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+    if not (spark.sparkContext.master.startswith("local[") or spark.sparkContext.master == "local"):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     own = getattr(spark.sparkContext, "_pathloom_dir", None)
     if own is None:

@@ -4,8 +4,10 @@ A document is the multiset of its runs of five words (fewer words: one run).  Do
 with equal multisets collapse into a node.  A node's BagMinHash signature is cut into
 bands; nodes that agree in a band share a bucket.  Inside a bucket all pairs are held
 against each other by their exact weighted Jaccard similarity, in blocks of bounded
-size: a bucket of many nodes is cut into blocks, and every pair of blocks is a task-sized
-group of its own.  A pair is looked at only in the first band it shares, and of the
+size.  In a bucket of more than a block the nodes are held against its first node before
+that; those similar to it are in one class and need no comparison with each other, and
+the others are cut into blocks, of which every pair with any block is a task-sized group
+of its own.  A pair is looked at only in the first band it shares, and of the
 similar pairs a group keeps a spanning forest, so no group sends out more links than it
 has nodes and yet none that joins two classes is lost.  Classes are the connected
 components of the links.
@@ -112,13 +114,57 @@ def grouped(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
 
 
 def _blocks(members: DataFrame) -> DataFrame:
-    """``members`` (band, bucket, node, size, ...) dealt to pairs of blocks: ``i`` <= ``j``
-    name the pair, ``side`` (0: block i, 1: block j) a row's own block.  A bucket of up to
-    BLOCK nodes is one block."""
-    n = F.ceil(F.col("size") / BLOCK).cast("int")
-    own = F.pmod(F.xxhash64("node"), n).cast("int")
-    paired = members.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), n - 1)))
-    return paired.select("*", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("side")).drop("own", "other")
+    """``members`` (band, bucket, node, tied, n_free, n_tied, ...) dealt to pairs of blocks:
+    ``i`` <= ``j`` name the pair, ``side`` (0: block i, 1: block j) a row's own block.  The
+    first ``n_free`` blocks of a bucket are of nodes that aren't tied to its first node, the
+    next ``n_tied`` of those that are; two of the latter make no pair."""
+    at = F.xxhash64("node")
+    own = F.when(F.col("tied"), F.col("n_free") + F.pmod(at, F.greatest("n_tied", F.lit(1)))).otherwise(F.pmod(at, F.greatest("n_free", F.lit(1)))).cast("int")
+    others = F.when(F.col("tied"), F.col("n_free")).otherwise(F.col("n_free") + F.col("n_tied"))
+    paired = members.withColumn("own", own).withColumn("others", others).where("others > 0").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("others") - 1)))
+    return paired.select("*", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("side")).drop("own", "other", "others")
+
+
+def _tied(documents: DataFrame, members: DataFrame, similarity: float) -> tuple[DataFrame, DataFrame]:
+    """The members of buckets of more than a block, with ``tied``: whether a node is similar
+    to the bucket's first one, or is that; and those links (a, b).  Nodes tied to one are in
+    one class whatever they are to each other, so a bucket of one class costs no more than
+    its nodes.  The first node's multiset goes to the others' in blocks."""
+    members = members.where(F.col("size") > BLOCK)
+    first = members.groupBy("band", "bucket").agg(F.min("node").alias("first"))
+    members = materialise(members.join(small_or_shuffled(materialise(first, "near-first")), ["band", "bucket"]), "near-large")
+    pairs = members.where("node <> first").select("first", "node").distinct()
+    sizes = materialise(pairs.groupBy("first").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("salts")), "near-salts")
+    sizes = small_or_shuffled(sizes)
+    dealt = pairs.join(sizes, "first").select("first", F.pmod(F.xxhash64("node"), F.col("salts")).cast("int").alias("salt"), "node")
+    lead = sizes.select("first", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.col("first").alias("node"))
+    bags = materialise(_bags(documents, small_or_shuffled(materialise(members.select("node").distinct(), "near-many")), False), "near-large-bags")
+    n = int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = dealt.withColumn("side", F.lit(1)).unionByName(lead.withColumn("side", F.lit(0))).join(bags, "node")
+    ordered = rows.select("first", "salt", "side", "node", "e", "w").repartition(n, "first", "salt").sortWithinPartitions("first", "salt", "side", "node")
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in grouped(batches, 2):
+            bags = [(np.frombuffer(e, np.uint64), np.frombuffer(w, np.int32).astype(np.int64)) for e, w in zip(t.column("e").to_pylist(), t.column("w").to_pylist(), strict=True)]
+            node = t.column("node").to_numpy()
+            weight = np.array([w.sum() for _, w in bags])
+            near = np.minimum(weight, weight[0]) >= similarity * np.maximum(weight, weight[0]) - 1e-9
+            hit = []
+            for k in np.flatnonzero(near[1:]) + 1:
+                low = bmh.similarity(bags[0], bags[k])[0]
+                if low >= similarity * (weight[0] + weight[k] - low) - 1e-9:
+                    hit.append(k)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(hit), node[0])), pa.array(node[hit])], names=["first", "node"])
+
+    found = materialise(ordered.mapInArrow(work, "first long, node long"), "near-tied")
+    flagged = members.join(found.withColumn("hit", F.lit(True)), ["first", "node"], "left")
+    flagged = flagged.withColumn("tied", F.coalesce("hit", F.col("node") == F.col("first"))).drop("hit", "first")
+    flagged = materialise(flagged, "near-flagged")
+    counts = flagged.groupBy("band", "bucket").agg(F.ceil(F.count_if(~F.col("tied")) / BLOCK).cast("int").alias("n_free"), F.ceil(F.count_if("tied") / BLOCK).cast("int").alias("n_tied"))
+    out = flagged.join(small_or_shuffled(materialise(counts, "near-counts")), ["band", "bucket"])
+    drop(members)
+    drop(bags)
+    return out, found.select(F.col("first").alias("a"), F.col("node").alias("b"))
 
 
 _GROUP = ["band", "bucket", "i", "j"]
@@ -165,16 +211,17 @@ def _allowed(keys: np.ndarray, weight: np.ndarray, band: int, side: np.ndarray,
     return out & (low >= similarity * high - 1e-9)
 
 
-def _bags(documents: DataFrame, needed: DataFrame) -> DataFrame:
-    """node, keys, elements and counts of the documents that are some node's first."""
+def _bags(documents: DataFrame, needed: DataFrame, keys: bool = True) -> DataFrame:
+    """node, band keys (empty unless asked for), elements and counts of the documents that
+    are some node's first."""
+    with_keys = keys
     rows = documents.select(F.col("doc_id").cast("long").alias("node"), "text").join(needed, "node")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
             data, ends = bytes_of(b.column(1))
             e, row, w = bmh.bags(*bmh.shingles(data, ends))
-            sig = bmh.signatures(e, row, w, b.num_rows, BANDS * BAND_ROWS)
-            keys = bmh.band_keys(sig, BANDS, BAND_ROWS)
+            keys = bmh.band_keys(bmh.signatures(e, row, w, b.num_rows, BANDS * BAND_ROWS), BANDS, BAND_ROWS) if with_keys else np.zeros((b.num_rows, 0), np.int64)
             cut = np.searchsorted(row, np.arange(b.num_rows + 1))
             yield pa.RecordBatch.from_arrays(
                 [
@@ -236,7 +283,14 @@ def links(documents: DataFrame, nodes: DataFrame, similarity: float = SIMILARITY
     that share a bucket."""
     members = _memberships(nodes)
     sizes = members.groupBy("band", "bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    members = materialise(members.join(small_or_shuffled(materialise(sizes, "near-sizes"), bound=300_000), ["band", "bucket"]), "near-members")
+    members = materialise(members.join(small_or_shuffled(materialise(sizes, "near-sizes")), ["band", "bucket"]), "near-members")
+    known = None
+    one_block = members.where(F.col("size") <= BLOCK).withColumns({"tied": F.lit(False), "n_free": F.lit(1), "n_tied": F.lit(0)})
+    if members.where(F.col("size") > BLOCK).isEmpty():
+        members = one_block
+    else:
+        large, known = _tied(documents, members, similarity)
+        members = one_block.unionByName(large)
     wanted = materialise(_wanted(members, nodes, similarity), "near-wanted")
     needed = materialise(wanted.select("node").distinct(), "near-needed")
     bags = _bags(documents, small_or_shuffled(needed))
@@ -268,7 +322,8 @@ def links(documents: DataFrame, nodes: DataFrame, similarity: float = SIMILARITY
                 p, q = np.array(kept).T
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(node[p], node[q])), pa.array(np.maximum(node[p], node[q]))], names=["a", "b"])
 
-    return blocks.mapInArrow(work, "a long, b long").where("a < b").distinct()
+    out = blocks.mapInArrow(work, "a long, b long").where("a < b")
+    return (out if known is None else out.unionByName(known)).distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -311,7 +366,9 @@ def classes(documents: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     found = materialise(components(links(documents, nodes, similarity)), "near-classes")
     node_class = first.select("digest", "node").join(found, "node", "left").select("digest", F.coalesce("root", "node").alias("class_id"))
     node_class = materialise(node_class, "near-node-class")
-    out = sketches.select("doc_id", "digest").join(node_class, "digest", "left")
+    own = sketches.select("doc_id", "digest")
+    # documents without words have no key that they could meet at
+    out = own.where("digest IS NOT NULL").join(node_class, "digest", "left").unionByName(own.where("digest IS NULL").withColumn("class_id", F.lit(None).cast("long")))
     return out.select("doc_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("class_id", "doc_id")).alias("class_id")).withColumn(
         "keep", F.coalesce(F.col("class_id") == F.col("doc_id"), F.lit(True))
     )

@@ -41,8 +41,8 @@ POPULATION = 4
 FULL = 0.98
 ROUNDS = 4
 #: Words, and runs without white space, whose ids a Python worker remembers, at most.
-REMEMBERED = 400_000
-REMEMBERED_RUNS = 250_000
+REMEMBERED = 250_000
+REMEMBERED_RUNS = 200_000
 
 # --- tokens ----------------------------------------------------------------------
 

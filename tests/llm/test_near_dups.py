@@ -1,4 +1,5 @@
 import collections
+import os
 import random
 
 import numpy as np
@@ -55,6 +56,70 @@ def test_classes_are_those_of_all_pairs(spark, monkeypatch, block):
     assert got == brute(data)
 
 
+def test_a_large_group_costs_no_pairs(spark, monkeypatch):
+    """Near copies of one text in buckets of several blocks: no two of them are dealt to a
+    pair of blocks, and the class is whole."""
+    monkeypatch.setattr(near_dups, "BLOCK", 16)
+    base = prose(300, 120)
+    data = [(i, edited(base, 1, i)) for i in range(150)] + [(500 + i, prose(600 + i, 40)) for i in range(5)]
+    df = spark.createDataFrame(data, "doc_id long, text string").repartition(4)
+    dealt = []
+    blocks = near_dups._blocks
+
+    def counted(members):
+        out = blocks(members)
+        dealt.append(out.where("size > 16").count())
+        return out
+
+    monkeypatch.setattr(near_dups, "_blocks", counted)
+    got = {r.doc_id: r.class_id for r in near_dups.classes(df).collect()}
+    assert got == {i: 0 for i in range(150)} | {i: i for i, _ in data[150:]}
+    assert dealt and dealt[0] == 0
+
+
+def test_nodes_that_are_not_tied_meet_those_that_are(spark, monkeypatch):
+    monkeypatch.setattr(near_dups, "BLOCK", 3)
+    base = prose(400, 200)
+    chain, text = [], base
+    for i in range(30):  # each close to the one before, the last ones far from the first
+        text = edited(text, 2, i)
+        chain.append((i, text))
+    df = spark.createDataFrame(chain, "doc_id long, text string").repartition(3)
+    assert {r.doc_id: r.class_id for r in near_dups.classes(df).collect()} == brute(chain)
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="the driver's tables are not here")
+def test_recall_on_the_tables(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    data = [(r.doc_id, r.text) for r in docs.collect()]
+    bags = {i: bag(t) for i, t in data}
+    by = collections.defaultdict(list)
+    for i, b in bags.items():
+        for x in b or ():
+            by[x].append(i)
+    pairs = {(i, j) for rows in by.values() for k, i in enumerate(rows) for j in rows[:k]}
+    similar = [(i, j) for i, j in pairs if sum((bags[i] & bags[j]).values()) >= 0.8 * sum((bags[i] | bags[j]).values())]
+    got = {r.doc_id: r.class_id for r in near_dups.classes(docs).collect()}
+    assert len(similar) > 50 and np.mean([got[i] == got[j] for i, j in similar]) >= 0.99
+    # no class without a link: every one hangs together by similar pairs
+    want = brute_links(similar, got)
+    assert all(want[i] == want[c] for i, c in got.items())
+
+
+def brute_links(pairs, nodes):
+    up = {i: i for i in nodes}
+
+    def root(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for i, j in pairs:
+        x, y = root(i), root(j)
+        up[max(x, y)] = min(x, y)
+    return {i: root(i) for i in up}
+
+
 def test_one_of_each_class_stays(spark):
     df = documents(spark)
     kept = near_dups.keep_one(df).collect()
