@@ -4,6 +4,7 @@ broadcasts, Arrow batches as byte arrays, and vectorised word hashing."""
 from __future__ import annotations
 
 import tempfile
+import time
 import uuid
 from collections.abc import Iterator
 
@@ -70,8 +71,11 @@ def drop_path(spark: SparkSession, path: str) -> None:
 
 def release(spark: SparkSession) -> None:
     """Let Spark delete the shuffle files of plans that nothing refers to any more: it does
-    so when the driver collects garbage, which may be long after they were read."""
-    spark.sparkContext._jvm.System.gc()
+    so when the driver collects garbage, which may be long after they were read.  (The events
+    of a query that has just ended still refer to its plan, so it is asked twice.)"""
+    for _ in range(2):
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.3)
 
 
 def small_or_shuffled(df: DataFrame, rows: int | None = None, bound: int = BROADCAST_ROWS) -> DataFrame:

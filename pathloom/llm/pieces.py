@@ -310,12 +310,19 @@ def count_units(documents: DataFrame, m: Model) -> DataFrame:
         others: Counter[str] = Counter()  # other runs
 
         def give() -> pa.RecordBatch:
-            units: Counter[str] = Counter()
-            runs = [(m.prefixed(w), k) for w, k in held.items()]
-            for run, k in [*runs, *others.items()]:
-                for u in m.cut(run, find):
+            plain = m.units == PATTERNS[0]
+            units: dict[str, int] = {}
+            runs = list(others.items())
+            for w, k in held.items():
+                if plain and w.isalpha():  # a unit as it is
+                    if len(w) < LONGEST:
+                        units[MARK + w] = k
+                else:
+                    runs.append((MARK + w, k))
+            for run, k in runs:
+                for u in find(run):
                     if len(u) <= LONGEST:
-                        units[u] += k
+                        units[u] = units.get(u, 0) + k
             return pa.RecordBatch.from_arrays([pa.array(list(units), pa.string()), pa.array(list(units.values()), pa.int64())], names=["unit", "n"])
 
         for b in slices(batches):
@@ -345,7 +352,7 @@ _IN_MEMORY = "spark.sql.objectHashAggregate.sortBased.fallbackThreshold"
 
 
 def lattice(units: DataFrame, m: Model) -> DataFrame:
-    """unit, n and ``edges`` of every unit that has any: longs for a BPE model, for a unigram
+    """unit, n and ``edges`` of every unit: longs for a BPE model, for a unigram
     model structs of e, s, id and score.
 
     Units are dealt by hash; exploding, the broadcast join with the piece table and the
@@ -356,17 +363,19 @@ def lattice(units: DataFrame, m: Model) -> DataFrame:
     )
     parts = spans.withColumn("piece", F.substr("unit", F.col("s") + 1, F.col("l")))
     table = small_or_shuffled(piece_table(units.sparkSession, m), len(m.normal))
-    found = parts.join(table, "piece")
+    # a unit's first character stays even if it is no piece, so that no unit is lost
+    found = parts.join(table, "piece", "left").where("id IS NOT NULL OR (s = 0 AND l = 1)")
     end = F.col("s") + F.col("l")
     if m.bpe:
         edge = F.col("edge").bitwiseOR(F.shiftleft(F.col("s").cast("long"), _START)).bitwiseOR(F.shiftleft(end.cast("long"), _END))
     else:
-        edge = F.struct(end.alias("e"), "s", "id", "score")
+        edge = F.when(F.col("id").isNotNull(), F.struct(end.alias("e"), "s", "id", "score"))
     return found.groupBy("unit").agg(F.first("n").alias("n"), F.collect_list(edge).alias("edges"))
 
 
-def encode_units(units: DataFrame, m: Model) -> DataFrame:
-    """unit, n and ``ids`` of every unit of the materialised table ``units``."""
+def encode_units(units: DataFrame, m: Model) -> tuple[DataFrame, list[DataFrame]]:
+    """unit, n and ``ids`` of every unit of the materialised table ``units``, and the tables
+    that they are in."""
     # a session of its own, so that the setting holds for these plans alone
     here = units.sparkSession
     spark = here.newSession()
@@ -381,9 +390,6 @@ def encode_units(units: DataFrame, m: Model) -> DataFrame:
         folded = grouped.select("unit", "n", ids.cast("array<int>").alias("ids"))
         if m.byte:
             folded = folded.withColumn("ids", F.when(~F.array_contains("ids", m.unknown), F.col("ids")))
-    folded = materialise(folded, "pieces-folded")
-    # units without any edge, and those that the fold does not cover
-    rest = mine.join(folded.where("ids is not null").select("unit"), "unit", "left_anti").select("unit", "n")
     shared = spark.sparkContext.broadcast(m)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -392,9 +398,11 @@ def encode_units(units: DataFrame, m: Model) -> DataFrame:
             ids = [_in_place(u, m) for u in b.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(ids, pa.list_(pa.int32()))], names=["unit", "n", "ids"])
 
-    left = materialise(rest.mapInArrow(work, "unit string, n long, ids array<int>"), "pieces-left")
+    folded = materialise(folded, "pieces-folded")
+    # the units that the fold does not cover
+    left = materialise(folded.where("ids IS NULL").select("unit", "n").mapInArrow(work, "unit string, n long, ids array<int>"), "pieces-left")
     out = [here.read.schema(t.schema).parquet(t._pathloom_path) for t in (folded, left)]
-    return out[0].where("ids is not null").unionByName(out[1])
+    return out[0].where("ids IS NOT NULL").unionByName(out[1]), [folded, left]
 
 
 def _in_place(unit: str, m: Model) -> list[int]:
@@ -442,17 +450,19 @@ class Coder:
         self.seen: dict[str, int] = {}  # number of a run's ids
         self.kept: list[bytes] = []
 
-    def _ids(self, run: str, units: dict[str, int]) -> bytes:
-        parts = []
+    def _ids(self, run: str, units: dict[str, int]) -> tuple[bytes, bool]:
+        """A run's ids, and whether there is a hole among them."""
+        parts, asks = [], False
         for u in self.m.cut(run, self.find):
             got = self.table.get(u)
             if got is None:
                 if len(u) <= LONGEST:
                     got = (self.HOLE + units.setdefault(u, len(units))).to_bytes(4, "little")
+                    asks = True
                 else:
                     got = np.array(_in_place(u, self.m), "<u4").tobytes()
             parts.append(got)
-        return b"".join(parts)
+        return b"".join(parts), asks
 
     def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, list[str]]:
         """All ids, where each text starts in them (and the end), and the units of the holes."""
@@ -471,28 +481,22 @@ class Coder:
         new, extra = dict.fromkeys(words).keys() - self.seen.keys(), {}
         kept = self.kept
         local: list[bytes] = []
-        base = len(kept)
         for w in new:
-            before = len(units)
-            got = self._ids(m.prefixed(w), units)
-            asks = len(units) > before or np.frombuffer(got, "<u4").max(initial=0) >= self.HOLE
-            if not asks and len(kept) < _REMEMBERED and not local:
+            got, asks = self._ids(m.prefixed(w), units)
+            if not asks and len(kept) < _REMEMBERED:
                 self.seen[w] = len(kept)
                 kept.append(got)
-                base = len(kept)
             else:
-                extra[w] = len(local)
+                extra[w] = -1 - len(local)
                 local.append(got)
         seen = self.seen
-        number = np.array([seen[w] if w in seen else base + extra[w] for w in words], np.int64)
-        if whole:
-            for at, run in whole.items():
-                number[at] = base + len(local)
-                local.append(self._ids(run, units))
-        data = [*kept, *local] if len(kept) + len(local) < 4 * len(number) else None
-        if data is None:  # few words: only what they need
-            wanted, number = np.unique(number, return_inverse=True)
-            data = [kept[i] if i < base else local[i - base] for i in wanted.tolist()]
+        number = np.fromiter((seen[w] if w in seen else extra[w] for w in words), np.int64, len(words))
+        for at, run in whole.items():
+            number[at] = -1 - len(local)
+            local.append(self._ids(run, units)[0])
+        # only the runs that these texts have
+        wanted, number = np.unique(number, return_inverse=True)
+        data = [kept[i] if i >= 0 else local[-1 - i] for i in wanted.tolist()]
         flat = np.frombuffer(b"".join(data), "<u4")
         size = np.fromiter(map(len, data), np.int64, len(data)) // 4
         start = np.cumsum(size) - size
@@ -510,7 +514,7 @@ def encode(documents: DataFrame, path: str | None = None, broadcast_units: int =
     m = Model.read(path or model_path())
     counts = materialise(count_units(documents, m), "pieces-counts")
     release(spark)
-    known = encode_units(counts, m)
+    known, tables = encode_units(counts, m)
     drop(counts)
     release(spark)
     above = _frequent(known, broadcast_units)
@@ -550,7 +554,10 @@ def encode(documents: DataFrame, path: str | None = None, broadcast_units: int =
     # rows are numbered when they are written, and read with these numbers ever after
     coded = materialise(rows.mapInArrow(code, "rid long, doc_id long, coded binary, units array<string>, which array<int>"), "pieces-coded")
     asked = coded.where(F.size("units") > 0).select("rid", F.posexplode("units").alias("k", "unit"))
-    answers = asked.join(rest, "unit").groupBy("rid").agg(F.collect_list(F.struct("k", "ids")).alias("answers"))
+    answers = materialise(asked.join(rest, "unit").groupBy("rid").agg(F.collect_list(F.struct("k", "ids")).alias("answers")), "pieces-answers")
+    for table in tables:
+        drop(table)
+    release(spark)
     schema = "doc_id long, ids binary" + (", text string" if texts else "")
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

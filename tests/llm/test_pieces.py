@@ -48,7 +48,7 @@ def test_the_fold_is_the_merging(spark):
     units |= {m.pieces[i] + x for i in m.odd for x in ("", "a", "e", " ")} | {"a" * n for n in (1, 2, 3, 7, 60, 61)} | {"日本", "x日", "é" * 61, "0" * 61}
     units = {u.replace(" ", "▁") for u in units}
     df = pieces.materialise(spark.createDataFrame([(u, 1) for u in units], "unit string, n long"), "test-units")
-    got = {x.unit: x.ids for x in pieces.encode_units(df, m).collect()}
+    got = {x.unit: x.ids for x in pieces.encode_units(df, m)[0].collect()}
     assert got == {u: pieces.merge(u, pieces.edges_of(u, m), m) for u in units}
     folded = pieces.fold(pieces.lattice(df, m)).where("ids is null").count()
     assert folded < len(units) / 4
