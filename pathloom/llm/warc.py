@@ -7,9 +7,12 @@ header line of the version at hand, takes the content by its declared length, an
 synthesises the WARC record: its identifier (a UUID from the source record), timestamp,
 type, content type and payload digest.
 
-WARC files are written by Spark's text writer, a record a row, the two line ends after a
-record being the writer's separator; they are read back as files of bounded size, by
-their declared lengths.
+Pages become small ARC files first, each with its version block, of versions 1 and 2 by
+turns; these are parsed as a whole, by their version and declared lengths.  WARC files are
+written by Spark's text writer, a record a row and uncompressed, the two line ends after a
+record being the writer's separator.  ``RECORDS`` records make a file if none is over
+``LARGE`` bytes, larger ones are files of their own, so that a file is bounded in bytes; they
+are read back by their declared lengths.
 
 Defined results: a null html is an empty payload, a null url becomes ``about:blank``;
 payloads below ``least`` bytes are always responses; a row with a null page_id is a record
@@ -29,11 +32,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialise, new_path, small_or_shuffled, utf8
+from .common import materialise, new_path, slices, small_or_shuffled
 
 LEAST = 100
-#: Records in a file, at most.
-RECORDS = 1000
+#: Records in a file at most, and bytes from which a payload is a file of its own.
+RECORDS = 256
+LARGE = 256 << 10
 _EPOCH = "20000101000000"
 _SPACE = uuid.uuid5(uuid.NAMESPACE_URL, "urn:pathloom:arc")
 _LINE = {
@@ -155,7 +159,7 @@ def parse_warc(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
 
 
 def write_warc(pages: DataFrame, path: str, least: int = LEAST) -> None:
-    """Convert ``pages`` (through ARC records, versions 1 and 2 by turns) to WARC files."""
+    """Convert ``pages``, as ARC files of versions 1 and 2, to WARC files."""
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.coalesce("url", F.lit("")).alias("url"), F.coalesce("html", F.lit("")).alias("html"))
     keyed = rows.where(F.col("page_id").isNotNull() & (F.octet_length("html") >= least)).select("page_id", F.sha2("html", 256).alias("digest"))
     keyed = materialise(keyed, "warc-digests")
@@ -164,26 +168,25 @@ def write_warc(pages: DataFrame, path: str, least: int = LEAST) -> None:
     again = keyed.join(small_or_shuffled(materialise(first, "warc-first")), "digest").where(F.col("page_id") > F.col("refers_to"))
     # a page_id that repeats with different payloads refers by its digest too
     again = materialise(again.distinct(), "warc-again")
-    listed = rows.withColumn("digest", F.sha2("html", 256)).join(small_or_shuffled(again, bound=100_000), ["page_id", "digest"], "left")
+    listed = rows.withColumn("digest", F.sha2("html", 256)).join(small_or_shuffled(again), ["page_id", "digest"], "left")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            out = []
-            for page, url, html, refers in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), utf8(b.column(2)).to_pylist(), b.column(3).to_pylist(), strict=True):
-                version = 1 + (page or 0) % 2
-                arc, _ = parse_arc_record(arc_record(url, html.encode(), version), 0, version)
-                out.append(warc_record(page, refers, arc))
+        for number, b in enumerate(slices(batches, "html")):
+            version = 1 + number % 2
+            pages, urls, html, refers = (b.column(i).to_pylist() for i in range(4))
+            archive = arc_header(version) + b"".join([arc_record(u, h.encode(), version) for u, h in zip(urls, html, strict=True)])
+            out = [warc_record(page, to, arc) for page, to, arc in zip(pages, refers, parse_arc(archive), strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], names=["value"])
 
-    records = listed.select("page_id", "url", "html", "refers_to").mapInArrow(work, "value string")
-    records.write.option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", RECORDS).option("compression", "gzip").text(path)
+    large = F.octet_length("html") > LARGE
+    for kind, rows, most in (("small", listed.where(~large), RECORDS), ("large", listed.where(large), 1)):
+        records = rows.select("page_id", "url", "html", "refers_to").mapInArrow(work, "value string")
+        records.write.option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", most).text(f"{path}/{kind}")
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
     """page_id, payload_bytes, payload_digest, record_type and refers_to of the records
     of the WARC files at ``path``, checked against their contents."""
-    import gzip
-
     kinds = pa.schema([("page_id", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64())])
 
     def number(text: str | None) -> int | None:
@@ -193,7 +196,7 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
         for b in batches:
             for data in b.column(0).to_pylist():
                 rows = []
-                for head, content in parse_warc(gzip.decompress(data) if data[:2] == b"\x1f\x8b" else data):
+                for head, content in parse_warc(data):
                     digest = head["warc-payload-digest"].removeprefix("sha256:")
                     if head["warc-type"] == "response" and (hashlib.sha256(content).hexdigest() != digest or len(content) != int(head["payload-length"])):
                         raise ArchiveError(f"{head['warc-record-id']} has another payload than it declares")

@@ -1,4 +1,3 @@
-import gzip
 import hashlib
 
 import pytest
@@ -40,10 +39,20 @@ def test_arc_files(spark, tmp_path, version):
 def test_written_files_are_warc(spark, tmp_path):
     df = spark.createDataFrame([(1, "http://x/1", "<p>" + "a" * 200), (2, "http://x/2", "<p>" + "a" * 200)], "page_id long, url string, html string")
     warc.write_warc(df.coalesce(1), f"file://{tmp_path}/w")
-    data = b"".join(gzip.decompress(f.read_bytes()) for f in sorted((tmp_path / "w").glob("part-*")))
+    data = b"".join(f.read_bytes() for f in sorted((tmp_path / "w" / "small").glob("part-*")))
     records = list(warc.parse_warc(data))
     assert [h["warc-type"] for h, _ in records] == ["response", "revisit"]
     assert records[1][0]["warc-refers-to"] == records[0][0]["warc-record-id"]
     assert records[0][0]["warc-date"] == "2000-01-01T00:00:00Z"
     with pytest.raises(warc.ArchiveError):
         list(warc.parse_warc(data[:-2]))
+
+
+def test_files_are_bounded_in_bytes(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(warc, "RECORDS", 5)
+    monkeypatch.setattr(warc, "LARGE", 3000)
+    df = spark.createDataFrame([(i, f"http://x/{i}", f"{i} " + "b" * (10 if i % 4 else 5000)) for i in range(40)], "page_id long, url string, html string").coalesce(1)
+    warc.write_warc(df, f"file://{tmp_path}/w")
+    files = list((tmp_path / "w").rglob("part-*"))
+    assert max(f.stat().st_size for f in files) < 7000
+    assert warc.read_warc(spark, f"file://{tmp_path}/w").count() == 40
