@@ -180,8 +180,9 @@ def set_membership_reactions(members: DataFrame, current_max: int) -> tuple[Data
     and its two participants."""
     from ..functions.scalars import entity_id
 
-    n = F.row_number().over(Window.orderBy("set_id", "member_id"))
-    r = members.distinct().withColumn("r_id", entity_id(n + current_max, "R"))
+    from ..runtime import numbered
+
+    r = numbered(members.distinct(), ["set_id", "member_id"], "__n").withColumn("r_id", entity_id(F.col("__n") + 1 + current_max, "R")).drop("__n")
     reactions = r.select("r_id", F.concat_ws(" IS A ", "member_name", "set_name").alias("r_name"), F.lit(False).alias("r_isreversible"))
     both = F.explode(F.array(F.struct(F.col("member_id").alias("sc_id"), F.lit(-1.0).alias("stoichiometry"), F.lit("SBO:0000010").alias("sbo_term")), F.struct(F.col("set_id").alias("sc_id"), F.lit(1.0).alias("stoichiometry"), F.lit("SBO:0000011").alias("sbo_term"))))
     return reactions, r.select("r_id", both.alias("x")).select("r_id", "x.*")

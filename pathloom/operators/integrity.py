@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from .. import vocabulary as V
 from ..functions import scalars as S
@@ -58,8 +57,11 @@ def cascade(removed: DataFrame, cspecies: DataFrame, participants: DataFrame) ->
     """What goes with removed species (``s_id``): their compartmentalized forms, the
     participants that these are, the reactions left underspecified with all of their
     participants, and the compartmentalized forms that take part in nothing any more."""
-    forms = cspecies.join(removed.select("s_id").distinct(), "s_id", "left_semi").select("sc_id")
-    reactions = underspecified(participants, forms)
+    from ..runtime import materialise
+
+    # what several steps start from is written once
+    forms = materialise(cspecies.join(removed.select("s_id").distinct(), "s_id", "left_semi").select("sc_id").distinct(), "cascade-forms")
+    reactions = materialise(underspecified(participants, forms), "cascade-reactions")
     gone = participants.join(forms, "sc_id", "left_semi").select("rsc_id").union(participants.join(reactions, "r_id", "left_semi").select("rsc_id")).distinct()
     left = participants.join(gone, "rsc_id", "left_anti")
     idle = participants.select("sc_id").distinct().join(left, "sc_id", "left_anti").select("sc_id")
@@ -149,8 +151,10 @@ def trivial_participants(participants: DataFrame) -> DataFrame:
 
 def next_ids(new: DataFrame, current_max: DataFrame, prefix: str, order: list[str], key: str) -> DataFrame:
     """Ids for new rows that go on from the greatest number in use (one row, column ``m``)."""
-    w = Window.orderBy(*order)
-    return new.withColumn("__n", F.row_number().over(w)).withColumn("__k", F.lit(1)).join(F.broadcast(current_max.withColumn("__k", F.lit(1))), "__k").withColumn(key, S.entity_id(F.col("__n") + F.coalesce("m", F.lit(-1)), prefix)).drop("__n", "__k", "m")
+    from ..runtime import numbered
+
+    rows = numbered(new, order, "__n").withColumn("__k", F.lit(1)).join(F.broadcast(current_max.withColumn("__k", F.lit(1))), "__k")
+    return rows.withColumn(key, S.entity_id(F.col("__n") + 1 + F.coalesce("m", F.lit(-1)), prefix)).drop("__n", "__k", "m")
 
 
 def exchange_gaps(cspecies: DataFrame, exchange: str) -> tuple[DataFrame, DataFrame]:
@@ -184,8 +188,9 @@ def transport_status(edges: DataFrame, cspecies: DataFrame, max_steps: int = 6)
 
 def exchange_reactions(pairs: DataFrame, names: DataFrame, current_max: int) -> tuple[DataFrame, DataFrame]:
     """A reversible reaction for each (s_id, sc_id_from, sc_id_to), and its participants."""
-    w = Window.orderBy("sc_id_from", "sc_id_to")
-    r = pairs.join(names.select("s_id", "s_name"), "s_id").withColumn("r_id", S.entity_id(F.row_number().over(w) + current_max, "R"))
+    from ..runtime import numbered
+
+    r = numbered(pairs.join(names.select("s_id", "s_name"), "s_id"), ["sc_id_from", "sc_id_to"], "__n").withColumn("r_id", S.entity_id(F.col("__n") + 1 + current_max, "R")).drop("__n")
     reactions = r.select("r_id", F.concat(F.col("s_name"), F.lit(" transport")).alias("r_name"), F.lit(True).alias("r_isreversible"))
     both = F.explode(F.array(F.struct(F.col("sc_id_from").alias("sc_id"), F.lit(-1.0).alias("stoichiometry"), F.lit(V.ROLE_CODES["reactant"]).alias("sbo_term")), F.struct(F.col("sc_id_to").alias("sc_id"), F.lit(1.0).alias("stoichiometry"), F.lit(V.ROLE_CODES["product"]).alias("sbo_term"))))
     return reactions, r.select("r_id", both.alias("x")).select("r_id", "x.*")

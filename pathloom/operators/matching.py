@@ -9,18 +9,12 @@ from pyspark.sql.window import Window
 
 
 def with_feature_id(features: DataFrame, name: str, order: list[str]) -> DataFrame:
-    """``features`` with a feature id: the number of the row in the given order.  Counts per
-    range partition are added up, so that no task sees all rows."""
+    """``features`` with a feature id: the number of the row in the given order."""
     if name in features.columns:
         return features
-    ordered = features.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__p", F.spark_partition_id()).withColumn("__i", F.monotonically_increasing_id())
-    from ..runtime import materialise
-
-    ordered = materialise(ordered, "feature-id")
-    sizes = ordered.groupBy("__p").agg(F.count(F.lit(1)).alias("__c"), F.min("__i").alias("__first"))
-    before = F.sum("__c").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1))
-    starts = sizes.select("__p", "__first", F.coalesce(before, F.lit(0)).alias("__before"))
-    return ordered.join(F.broadcast(starts), "__p").withColumn(name, F.col("__i") - F.col("__first") + F.col("__before")).drop("__p", "__i", "__first", "__before")
+    from ..runtime import numbered
+
+    return numbered(features, order, name)
 
 
 def features_to_species(features: DataFrame, identifiers: DataFrame, ontologies: list[str], column: str = "identifier", delimiter: str | None = "/") -> DataFrame:

@@ -82,8 +82,10 @@ def pooled(attributes: DataFrame, samples: int, seed: int = 0) -> DataFrame:
     """Samples drawn with replacement from the values of all attributes together; the same
     for every attribute."""
     names = attributes.select("attribute").distinct()
-    pool = attributes.withColumn("attribute", F.lit("pool"))
-    ranked = pool.withColumn("at", F.row_number().over(Window.partitionBy("attribute").orderBy("value", "name")))
+    from ..runtime import numbered
+
+    pool = numbered(attributes.withColumn("attribute", F.lit("pool")), ["value", "name"], "at")
+    ranked = pool.withColumn("at", F.col("at") + 1)
     n = ranked.groupBy("attribute").agg(F.max("at").alias("n"))
     drawn = attributes.select("name").distinct().withColumn("attribute", F.lit("pool")).join(F.broadcast(n), "attribute")
     drawn = drawn.withColumn("sample", F.explode(F.sequence(F.lit(0), F.lit(samples - 1)))).withColumn("at", F.pmod(F.xxhash64(F.lit(seed), "sample", "name"), F.col("n")) + 1)

@@ -143,8 +143,10 @@ def model_from_edgelist(edges: DataFrame, species: DataFrame, compartments: Data
     stoichiometries), species (s_name, identifiers) and compartments (c_name)."""
     from ..functions.scalars import entity_id
 
+    from ..runtime import numbered as number
+
     def numbered(df: DataFrame, prefix: str, key: str, order: list[str]) -> DataFrame:
-        return df.withColumn(key, entity_id(F.row_number().over(Window.orderBy(*order)) - 1, prefix))
+        return number(df, order, key).withColumn(key, entity_id(F.col(key), prefix))
 
     defaults = {
         "compartment_upstream": F.lit("cellular_component"),

@@ -166,12 +166,13 @@ def net_polarity(links: DataFrame, path: str = "path_id", step: str = "step", po
     return links.withColumn("net_polarity", F.when(only == 1, "ambiguous").otherwise(F.concat(F.when(seen == 1, "ambiguous ").otherwise(""), sign)))
 
 
-def closure(parents: DataFrame, child: str = "child", parent: str = "parent", max_depth: int = 100) -> DataFrame:
+def closure(parents: DataFrame, child: str = "child", parent: str = "parent", max_depth: int | None = None) -> DataFrame:
     """(child, ancestor, depth) of a hierarchy, the least depth of each pair; an error if it has
-    a cycle.  Paths double in length each round."""
+    a cycle.  Paths double in length each round, until nothing is added or, if it is given,
+    ``max_depth`` is passed."""
     known = materialise(parents.select(F.col(child).alias("child"), F.col(parent).alias("ancestor"), F.lit(1).alias("depth")).distinct(), "closure")
     n, reach = known.count(), 1
-    while reach < max_depth:
+    while max_depth is None or reach < max_depth:
         far = known.alias("a").join(known.alias("b"), F.col("a.ancestor") == F.col("b.child")).select(F.col("a.child").alias("child"), F.col("b.ancestor").alias("ancestor"), (F.col("a.depth") + F.col("b.depth")).alias("depth"))
         nxt = materialise(known.unionByName(far).groupBy("child", "ancestor").agg(F.min("depth").alias("depth")), "closure")
         m = nxt.count()

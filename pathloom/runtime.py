@@ -7,6 +7,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 #: Rows up to which a table whose size has been checked is broadcast.
 BROADCAST_ROWS = 500_000
@@ -17,7 +18,7 @@ def shared_dir(spark: SparkSession) -> str:
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    if not (spark.sparkContext.master == "local" or spark.sparkContext.master.startswith("local[")):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     own = getattr(spark.sparkContext, "_pathloom_own", None)
     if own is None:
@@ -43,6 +44,17 @@ def drop(df: DataFrame) -> None:
         p.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def numbered(df: DataFrame, order: list[str], name: str) -> DataFrame:
+    """``df`` with the number (from 0) of every row in the given order, ties in any.  Rows are
+    sorted in range partitions, whose sizes are added up, so that no task sees all rows."""
+    ordered = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__p", F.spark_partition_id()).withColumn("__i", F.monotonically_increasing_id())
+    ordered = materialise(ordered, "numbered")
+    sizes = ordered.groupBy("__p").agg(F.count(F.lit(1)).alias("__c"), F.min("__i").alias("__first"))
+    before = F.sum("__c").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1))
+    starts = sizes.select("__p", "__first", F.coalesce(before, F.lit(0)).alias("__before"))
+    return ordered.join(F.broadcast(starts), "__p").withColumn(name, F.col("__i") - F.col("__first") + F.col("__before")).drop("__p", "__i", "__first", "__before")
+
+
 def small_or_shuffled(df: DataFrame, rows: int | None = None) -> DataFrame:
     """``df`` marked for a broadcast if it has few enough rows, else as it is."""
     n = df.count() if rows is None else rows

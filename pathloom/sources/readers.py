@@ -201,7 +201,7 @@ def filter_manifest(df: DataFrame, data_sources: list[str] | None = None, specie
 def gmt(spark: SparkSession, path: str) -> DataFrame:
     """Gene sets, a line each: name, description, members; long: geneset, member."""
     parts = F.split("value", "\t")
-    return spark.read.text(path).select(F.get(parts, F.lit(0)).alias("geneset"), F.explode(F.slice(parts, 3, 1_000_000)).alias("member")).where("member <> ''").distinct()
+    return spark.read.text(path).select(F.get(parts, F.lit(0)).alias("geneset"), F.explode(F.slice(parts, F.lit(3), F.size(parts))).alias("member")).where("member <> ''").distinct()
 
 
 @reader("yeast")
