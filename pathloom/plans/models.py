@@ -152,7 +152,16 @@ def _(t: Tables) -> DataFrame:
     return summaries.profile({"compartments": t.compartments(), "species": t.species(), "reactions": t.reactions(), "participants": t.participants()})
 
 
-@query("set_cover_sources")
+#: Steps of the cover that its SQL spells out; sizes are 50, and a step covers two or more.
+_COVER = 25
+_COVER_SQL = "WITH l0 AS MATERIALIZED (SELECT DISTINCT p_brand, p_size FROM part)" + "".join(
+    f""", t{k} AS MATERIALIZED (SELECT p_brand, count(*) AS n FROM l{k} GROUP BY 1 HAVING count(*) >= 2 ORDER BY n DESC, p_brand LIMIT 1),
+    l{k + 1} AS MATERIALIZED (SELECT * FROM l{k} WHERE p_size NOT IN (SELECT p_size FROM l{k} JOIN t{k} USING (p_brand)))"""
+    for k in range(_COVER)
+)
+
+
+@query("set_cover_sources", _COVER_SQL + " " + " UNION ALL ".join(f"SELECT {k}::BIGINT AS step, p_brand, n AS n_covered FROM t{k}" for k in range(_COVER)))
 def _(t: Tables) -> DataFrame:
     return summaries.set_cover(t.part.select("p_brand", "p_size"), "p_brand", "p_size", 2)
 
