@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
@@ -12,10 +13,11 @@ from ..functions.stats import midrank_quantile
 from ..runtime import drop, materialise, small_or_shuffled
 
 
-def pagerank(edges: DataFrame, vertices: DataFrame, resets: DataFrame, damping: float = 0.85, iterations: int = 60, tolerance: float = 1e-10, directed: bool = True) -> DataFrame:
+def pagerank(edges: DataFrame, vertices: DataFrame, resets: DataFrame, damping: float = 0.85, iterations: int | None = None, tolerance: float = 1e-10, directed: bool = True) -> DataFrame:
     """run, name, value.  ``resets`` (run, name, value) holds the positive reset weights of any
-    number of runs; they are normalised per run.  Every run has a row for every vertex.  Mass at vertices without edges out goes
-    back by the reset weights.
+    number of runs; they are normalised per run.  Every run has a row for every
+    vertex.  Mass at vertices without edges out goes back by the reset weights.  Rounds go on
+    until no value changes by ``tolerance``, or as many as ``iterations`` says.
 
     Each round is one join of the values to the edges and one aggregation by (run, vertex),
     for all runs together; the sums that a run needs as a whole are one row a run."""
@@ -29,7 +31,9 @@ def pagerank(edges: DataFrame, vertices: DataFrame, resets: DataFrame, damping:
     reset = materialise(reset.select("run", "name", (F.col("value") / F.sum("value").over(total)).alias("reset")), "pr-reset")
     sinks = materialise(vertices.select("name").distinct().join(out.select(F.col("src").alias("name")), "name", "left_anti"), "pr-sinks")
     p = reset.select("run", "name", F.col("reset").alias("value"))
-    for k in range(iterations):
+    if iterations is None and not tolerance:
+        raise ValueError("a number of rounds or a tolerance is needed")
+    for k in itertools.count() if iterations is None else range(iterations):
         moved = p.join(e, F.col("name") == F.col("src")).groupBy("run", F.col("dst").alias("name")).agg(F.sum(F.col("value") * F.col("share")).alias("moved"))
         lost = p.join(sinks, "name", "left_semi").groupBy("run").agg(F.sum("value").alias("lost"))
         back = reset.join(lost, "run", "left").select("run", "name", (F.col("reset") * (1 - damping + damping * F.coalesce("lost", F.lit(0.0)))).alias("back"))

@@ -296,7 +296,7 @@ def _(t: Tables) -> DataFrame:
 def _(t: Tables) -> DataFrame:
     vertices = t.nation.select(F.col("n_nationkey").alias("name"))
     attributes = t.nation.select(F.lit("region").alias("attribute"), F.col("n_nationkey").alias("name"), F.col("n_regionkey").cast("double").alias("value"))
-    return propagation.with_null(t.trade(), vertices, attributes, samples=20, iterations=15)
+    return propagation.with_null(t.trade(), vertices, attributes)
 
 
 # --- context ---------------------------------------------------------------------
