@@ -26,7 +26,7 @@ from __future__ import annotations
 
 import heapq
 from collections import Counter
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -44,7 +44,7 @@ MARK = "▁"
 #: them are bits of a long).
 LONGEST = 61
 #: Units whose ids are broadcast, at most (some 60 bytes each).
-BROADCAST_UNITS = 400_000
+BROADCAST_UNITS = 700_000
 _COUNTED = 500_000
 #: Runs of units whose ids a Python worker remembers.
 _REMEMBERED = 200_000
@@ -122,14 +122,6 @@ class Model:
         words = text.split(" ")
         return (words, "") if self.prefix else (words[1:], words[0])
 
-    @staticmethod
-    def prefixed(word: str) -> str:
-        return MARK + word
-
-    def cut(self, run: str, find: Callable[[str], list[str]]) -> list[str]:
-        """The units of a run."""
-        return [run] if run[1:].isalpha() and run[0] == MARK and self.units == PATTERNS[0] else find(run)
-
     def spell(self, c: str) -> list[int]:
         """The ids of a character that is no piece."""
         return [self.byte[b] for b in c.encode()] if self.byte else [self.unknown]
@@ -453,7 +445,7 @@ class Coder:
     def _ids(self, run: str, units: dict[str, int]) -> tuple[bytes, bool]:
         """A run's ids, and whether there is a hole among them."""
         parts, asks = [], False
-        for u in self.m.cut(run, self.find):
+        for u in self.find(run):
             got = self.table.get(u)
             if got is None:
                 if len(u) <= LONGEST:
@@ -478,19 +470,24 @@ class Coder:
             words += more
             cut.append(len(words))
         # runs with a hole are known for this slice alone, as the numbers of its units are
-        new, extra = dict.fromkeys(words).keys() - self.seen.keys(), {}
-        kept = self.kept
+        seen, kept, table = self.seen, self.kept, self.table
+        extra: dict[str, int] = {}
         local: list[bytes] = []
-        for w in new:
-            got, asks = self._ids(m.prefixed(w), units)
+        plain = m.units == PATTERNS[0]
+        for w in dict.fromkeys(words).keys() - seen.keys():
+            got, asks = (table.get(MARK + w), False) if plain and w.isalpha() else (None, False)
+            if got is None:
+                got, asks = self._ids(MARK + w, units)
             if not asks and len(kept) < _REMEMBERED:
-                self.seen[w] = len(kept)
+                seen[w] = len(kept)
                 kept.append(got)
             else:
                 extra[w] = -1 - len(local)
                 local.append(got)
-        seen = self.seen
-        number = np.fromiter((seen[w] if w in seen else extra[w] for w in words), np.int64, len(words))
+        seen.update(extra)
+        number = np.fromiter(map(seen.__getitem__, words), np.int64, len(words))
+        for w in extra:
+            del seen[w]
         for at, run in whole.items():
             number[at] = -1 - len(local)
             local.append(self._ids(run, units)[0])
