@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..operators import wiring
-from . import models, networks, sources, tables  # noqa: F401  (they register their queries)
+from . import models, networks, results, sources, tables  # noqa: F401  (they register their queries)
 from .adapters import Tables
 from .registry import QUERIES, SQL
 
