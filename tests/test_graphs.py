@@ -165,3 +165,37 @@ def test_nearest_takes_any_number_of_queries(spark):
     out = search.nearest(vectors, queries, 1)
     assert out.count() == 10_050
     assert out.where("vec_id <> if(query_id % 2 = 0, -1, -2)").isEmpty()
+
+
+def test_nearest_ranks_like_the_sql(spark, monkeypatch):
+    """Copies, near ties, directions that are none, nulls; floors and merges in small steps."""
+    import duckdb
+    import numpy as np
+    import pyarrow as pa
+
+    rng = np.random.default_rng(7)
+    v = rng.standard_normal((400, 8)).astype(np.float32)
+    v[40:90] = v[40]  # more copies than k
+    v[100:160] = v[100] * (1 + 1e-6 * rng.standard_normal((60, 8))).astype(np.float32)  # closer than single precision tells
+    v[200:203] = 0
+    lists = [None if i in (5, 210, 240) else v[i].tolist() for i in range(400)]
+    for name, value in (("ROWS", 3), ("COLUMNS", 16), ("STARTERS", 8), ("CANDIDATES", 50)):
+        monkeypatch.setattr(search, name, value)
+    table = pa.table({"vec_id": pa.array(range(400), pa.int64()), "embedding": pa.array(lists, pa.list_(pa.float32()))})
+    df = spark.createDataFrame(table).repartition(5)
+    out = search.nearest(df, df.where("vec_id % 20 = 0"), 3)
+    mine = sorted((r.query_id, r["rank"], r.vec_id, repr(r.score)) for r in out.collect())
+    con = duckdb.connect()
+    con.register("embeddings", table)
+    theirs = con.execute(
+        """WITH q AS (SELECT vec_id AS query_id, embedding AS q FROM embeddings WHERE vec_id % 20 = 0),
+        x AS (SELECT query_id, vec_id, list_inner_product(embedding::DOUBLE[], q::DOUBLE[]) / (sqrt(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[])) * sqrt(list_inner_product(q::DOUBLE[], q::DOUBLE[]))) AS s FROM embeddings, q WHERE vec_id <> query_id)
+        SELECT query_id, r, vec_id, s FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, vec_id) AS r FROM x) WHERE r <= 3"""
+    ).fetchall()
+    assert mine == sorted((q, r, i, repr(s)) for q, r, i, s in theirs)
+    pairs = []
+    add = search.Nearest._merge
+    monkeypatch.setattr(search.Nearest, "_merge", lambda self, rows, *rest: (pairs.append(len(rows)), add(self, rows, *rest)))
+    best = search.Nearest(np.arange(20), v[:20], np.zeros(20, bool), 3)
+    best.add(np.arange(400), v, np.zeros(400, bool))
+    assert 0 < sum(pairs) < 20 * 400 / 2  # most pairs are never scored one by one
