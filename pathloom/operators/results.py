@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from .. import vocabulary as V
 from ..functions import scalars as S
+from ..runtime import small_or_shuffled
 
 #: Primary key to the entity that has it.
 KEYS = {"rsc_id": "reaction_species", "sc_id": "compartmentalized_species", "r_id": "reactions", "s_id": "species", "c_id": "compartments"}
@@ -79,7 +80,9 @@ def cspecies_identifiers(identifiers: DataFrame, cspecies: DataFrame) -> DataFra
 def sets_of_species(sets: DataFrame, identifiers: DataFrame, ontology: str, qualifiers: tuple[str, ...] = V.DEFINING) -> DataFrame:
     """(geneset, s_id): sets of identifiers (``member``) as sets of species, each once."""
     known = identifiers.where((F.col("ontology") == ontology) & F.col("bqb").isin(*qualifiers)).select(F.col("identifier").alias("member"), "s_id")
-    return sets.join(known, "member").select("geneset", "s_id").distinct()
+    # a member counts once in a set, before its species multiply it
+    wanted = sets.select("geneset", "member").distinct()
+    return small_or_shuffled(wanted).join(known, "member").select("geneset", "s_id").distinct()
 
 
 def path_attributes(steps: DataFrame, weight: str = "weight") -> DataFrame:

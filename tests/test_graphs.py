@@ -199,3 +199,14 @@ def test_nearest_ranks_like_the_sql(spark, monkeypatch):
     best = search.Nearest(np.arange(20), v[:20], np.zeros(20, bool), 3)
     best.add(np.arange(400), v, np.zeros(400, bool))
     assert 0 < sum(pairs) < 20 * 400 / 2  # most pairs are never scored one by one
+
+
+def test_sets_of_species_take_a_member_once(spark, rows):
+    from pathloom.operators import results
+
+    sets = spark.createDataFrame([("g", "x")] * 50 + [("h", "x"), ("h", "y")], "geneset string, member string")
+    known = spark.createDataFrame([("o", "x", "BQB_IS", i) for i in range(40)] + [("o", "y", "BQB_IS", 1)], "ontology string, identifier string, bqb string, s_id long")
+    out = results.sets_of_species(sets, known, "o")
+    assert rows(out) == sorted([(g, i) for g in "gh" for i in range(40)], key=repr)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" in plan[plan.index("Join") :]  # repeated members are gone before the join
