@@ -41,7 +41,7 @@ def test_entry(spark):
 
 
 @pytest.mark.parametrize("broadcast", [0, 500_000])
-@pytest.mark.parametrize("name", ["match_features", "match_wide", "edgelist_to_species"])
+@pytest.mark.parametrize("name", ["match_features", "match_wide", "edgelist_to_species", "perturbed_species"])
 def test_joins_of_repeated_keys(spark, duck, monkeypatch, name, broadcast):
     """Dealt by the rows that come out, in tiles and in broadcast lists."""
     from pathloom import runtime
