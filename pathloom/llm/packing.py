@@ -19,6 +19,7 @@ doc_id, piece and crc; an empty table gives an empty result; other columns are n
 from __future__ import annotations
 
 import re
+import struct
 import threading
 import zlib
 from collections.abc import Iterator
@@ -26,6 +27,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -40,9 +42,14 @@ POPULATION = 4
 #: Share of the capacity from which a bin is kept as it is.
 FULL = 0.98
 ROUNDS = 4
+#: Bytes of text encoded at once.
+ENCODED = 1 << 20
 #: Words, and runs without white space, whose ids a Python worker remembers, at most.
-REMEMBERED = 250_000
-REMEMBERED_RUNS = 200_000
+REMEMBERED = 150_000
+REMEMBERED_RUNS = 100_000
+
+#: Stands between the ids of two runs; no id has four such bytes.
+_APART = b"\xff" * 4
 
 # --- tokens ----------------------------------------------------------------------
 
@@ -57,13 +64,13 @@ class Encoder:
     """The ids of whole texts, as little-endian unsigned 32-bit integers.
 
     Normalising and cutting into words never looks across white space, so a text is cut
-    into runs without white space, and the ids of a run are looked up once and remembered.
+    into runs without white space, and the ids of a different run are looked up once and remembered.
     A new run goes through the tokenizer's own normaliser, pre-tokenizer and merges; runs of
     printable ASCII, which the same rules cut alike under any version of Unicode, are lowered
     and cut here.  Texts that spell an added token go through the tokenizer whole, as do
     those with separators that are white space to Python but not to the tokenizer."""
 
-    _ascii = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
+    _ascii = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9 ]+| ")
     _odd = re.compile("[\x1c-\x1f]")
     _made: dict[str, Encoder] = {}
     _lock = threading.Lock()
@@ -74,7 +81,7 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.odd = re.compile("|".join([self._odd.pattern, *map(re.escape, added)]))
-        self.words: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {" ": _APART}
         self.runs: dict[str, bytes] = {}
 
     @classmethod
@@ -84,53 +91,69 @@ class Encoder:
                 cls._made[path] = cls(path)
             return cls._made[path]
 
-    def _cut(self, runs: set[str]) -> Iterator[tuple[str, list[str]]]:
-        """The words of each run, in the alphabet of the vocabulary."""
-        others = []
-        for r in runs:
-            if r.isascii() and r.isprintable():
-                yield r, self._ascii.findall(r.lower())
-            else:
-                others.append(r)
-        if not others:
-            return
-        normal = self.tokenizer.normalizer.normalize_str(" ".join(others))
-        words: list[list[str]] = [[] for _ in others]
-        ends = [i for i, c in enumerate(normal) if c == " "]
+    def _plain(self, runs: str) -> list[str]:
+        """The words of runs of printable ASCII with a space between two, spaces included."""
+        return self._ascii.findall(runs.lower())
+
+    def _other(self, runs: str) -> list[str]:
+        """The same for any runs, in the alphabet of the vocabulary."""
+        normal = self.tokenizer.normalizer.normalize_str(runs)
+        ends = np.flatnonzero(np.frombuffer(normal.encode("utf-32-le"), "<u4") == 32).tolist()
+        words: list[str] = []
         at = 0
         for word, (start, _) in self.tokenizer.pre_tokenizer.pre_tokenize_str(normal):
             while at < len(ends) and start > ends[at]:
+                words.append(" ")
                 at += 1
-            words[at].append(word)
-        yield from zip(others, words, strict=True)
-
-    def _learn(self, runs: set[str]) -> dict[str, bytes]:
-        """The ids of runs without white space, from those of their words."""
-        known, out, new = self.words, {}, []
-        for r, words in self._cut(runs):
-            for w in words:
-                if w not in known:
-                    known[w] = np.array([t.id for t in self.tokenizer.model.tokenize(w)], "<u4").tobytes()
-                    new.append(w)
-            out[r] = known[words[0]] if len(words) == 1 else b"".join([known[w] for w in words])
+            words.append(word)
+        return words + [" "] * (len(ends) - at)
+
+    def _coded(self, words: list[str]) -> list[bytes]:
+        """The ids of the runs that spaces part."""
+        known, tokenize = self.words, self.tokenizer.model.tokenize
+        new = set(words).difference(known)
+        for w in new:
+            ids = [t.id for t in tokenize(w)]
+            known[w] = struct.pack(f"<{len(ids)}I", *ids)
+        out = b"".join(map(known.__getitem__, words)).split(_APART)
         if len(known) > REMEMBERED:  # what came first is what is frequent: that stays
             for w in new:
                 del known[w]
         return out
 
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        whole = [self.odd.search(t) is not None for t in texts]
-        runs = [[] if w else t.split() for t, w in zip(texts, whole, strict=True)]
+    def __call__(self, texts: list[str] | pa.Array) -> list[bytes]:
+        column = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.large_string())
+        if not len(column):
+            return []
+        whole = pc.match_substring_regex(column, self.odd.pattern).to_numpy(zero_copy_only=False)
+        split = pc.utf8_split_whitespace(pc.if_else(pa.array(whole), "", column) if whole.any() else column)
+        coded = split.flatten().dictionary_encode()
+        # the different runs as strings: one string cut at its spaces is made faster than each of them
+        every = pa.ListArray.from_arrays(pa.array([0, len(coded.dictionary)], pa.int32()), coded.dictionary)
+        runs = pc.binary_join(every, pa.scalar(" ", coded.dictionary.type))[0].as_py().split(" ")
         known = self.runs
-        new = self._learn(set().union(*runs).difference(known))
-        known.update(new)
-        out = [b"".join(map(known.__getitem__, rs)) for rs in runs]
-        if len(known) > REMEMBERED_RUNS:
-            for r in new:
-                del known[r]
-        for i, t in enumerate(texts):
-            if whole[i]:
-                out[i] = np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes()
+        ids = list(map(known.get, runs))
+        plain, others = [], []
+        for i, x in enumerate(ids):
+            if x is None:
+                (plain if runs[i].isascii() and runs[i].isprintable() else others).append(i)
+        for at, words in ((plain, self._plain), (others, self._other)):
+            if at:
+                new = [runs[i] for i in at]
+                for i, x in zip(at, self._coded(words(" ".join(new))), strict=True):
+                    ids[i] = x
+                known.update(zip(new[: max(0, REMEMBERED_RUNS - len(known))], map(ids.__getitem__, at)))
+        # every run's ids in their places, from those of the different runs
+        size = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        first = np.cumsum(size) - size
+        which = coded.indices.to_numpy()
+        ends = np.cumsum(size[which])
+        placed = np.arange(ends[-1]) + np.repeat(first[which] - ends + size[which], size[which])
+        flat = np.frombuffer(b"".join(ids), "<u4")[placed]
+        cuts = np.append(0, ends)[split.offsets.to_numpy()]
+        out = [flat[a:z].tobytes() for a, z in zip(cuts[:-1], cuts[1:], strict=True)]
+        for i in np.flatnonzero(whole):
+            out[i] = np.array(self.tokenizer.encode(column[int(i)].as_py(), add_special_tokens=False).ids, "<u4").tobytes()
         return out
 
 
@@ -141,9 +164,9 @@ def pieces(documents: DataFrame, path: str | None = None, capacity: int = CAPACI
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = Encoder.at(path)
-        for b in slices(batches):
+        for b in slices(batches, most=ENCODED):
             docs, piece, start, length, crc = [], [], [], [], []
-            for doc, ids in zip(b.column(0).to_pylist(), encode(utf8(b.column(1)).to_pylist()), strict=True):
+            for doc, ids in zip(b.column(0).to_pylist(), encode(utf8(b.column(1))), strict=True):
                 ids += b"\0\0\0\0"
                 for k, at in enumerate(range(0, len(ids), 4 * capacity)):
                     part = ids[at : at + 4 * capacity]

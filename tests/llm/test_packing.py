@@ -1,3 +1,4 @@
+import sys
 import zlib
 
 import numpy as np
@@ -100,3 +101,14 @@ def test_evolving_beats_best_fit_alone():
     worth = lambda x: packing.fitness(packing.solution(x, lengths)[1], 100)
     assert worth(evolved) > worth(bins)
     assert packing.solution(evolved, lengths)[0].max() + 1 < len(fill)
+
+
+def test_what_an_encoder_remembers_is_small():
+    e = packing.Encoder(packing.tokenizer_path())
+    letters = "etaoinshrdlucmfwypvbgkjqxz"
+    name = lambda n: "".join(letters[n // 26**k % 26] for k in range(5))
+    for at in range(0, 300_000, 20_000):
+        e([" ".join(f"{name(7919 * n)}," for n in range(at, at + 20_000))])
+    assert len(e.runs) >= 50_000
+    size = sum(sys.getsizeof(d) + sum(sys.getsizeof(k) + sys.getsizeof(v) for k, v in d.items()) for d in (e.words, e.runs))
+    assert size < 48 << 20
