@@ -4,10 +4,11 @@ import hashlib
 import os
 
 import duckdb
+import pyarrow as pa
 import pytest
 
 import corpus_pipeline
-from pathloom.llm import catalog, lines, packing
+from pathloom.llm import catalog, common, lines, packing
 from tools.compare import TABLES, norm
 
 from . import test_lines, test_near_dups, test_repeats
@@ -68,3 +69,16 @@ def test_sql(spark, name):
     rel = con.execute(catalog.SQL[name])
     names = [d[0] for d in rel.description]
     assert mine == sorted((tuple(norm(r[names.index(c)]) for c in columns) for r in rel.fetchall()), key=repr)
+
+
+def test_workers_get_bounded_batches_while_a_table_is_written(spark):
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    was = spark.conf.get(key)
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows], pa.int64())], names=["n"])
+
+    got = [r.n for r in common.materialise(spark.range(0, 9000, 1, 1).mapInArrow(sizes, "n long"), "batches").collect()]
+    assert sum(got) == 9000 and max(got) <= common.BATCH_ROWS < 9000
+    assert spark.conf.get(key) == was
