@@ -1,6 +1,7 @@
 """The corpus pipeline: documents through the stages in STAGES, each written as Parquet
 and read again as the next one's documents.
 
+A stage begins with the memory that the executors can spare given back (``free_heaps``).
 All stages but the last return the columns of documents (``n_chars`` follows ``text``):
 
 1. toxicity: documents scored as toxic go;
@@ -19,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pathloom.llm import lines, near_dups, packing, repeats, toxicity
-from pathloom.llm.common import new_path, original
+from pathloom.llm.common import free_heaps, new_path, original
 
 
 #: Words from which a repeated passage goes, and bytes of the strings that it is made of (so
@@ -29,25 +30,30 @@ PASSAGE_BYTES = 150
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    free_heaps(spark)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic")
     model = toxicity.learn(docs, labels)
     return original(toxicity.score(docs, model).where(F.col("__score") < toxicity.THRESHOLD), docs.columns)
 
 
 def lines_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    free_heaps(spark)
     return _counted(original(lines.remove_boilerplate(docs), docs.columns))
 
 
 def near_dups_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    free_heaps(spark)
     return near_dups.keep_one(docs)
 
 
 def repeats_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    free_heaps(spark)
     out = repeats.remove_repeats(docs, length=PASSAGE_BYTES, words=PASSAGE_WORDS).withColumn("text", F.col("__text"))
     return _counted(original(out, docs.columns))
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    free_heaps(spark)
     return packing.pack_documents(docs.select("doc_id", "text"))
 
 

@@ -376,7 +376,9 @@ def learn(documents: DataFrame, labels: DataFrame, most: int = TRAIN_DOCS, most_
     if not len(rows):
         return None
     same = ["doc_id", "__n", "__hash"]
-    wanted = documents.sparkSession.createDataFrame(rows[same].drop_duplicates(), known.select(*same).schema)
+    # as an Arrow table: rows of Python would be read by workers of another kind, which stay on the executors
+    wanted = pa.Table.from_pandas(rows[same].drop_duplicates(), preserve_index=False)
+    wanted = documents.sparkSession.createDataFrame(wanted, known.select(*same).schema)
     # rows with the same doc_id and text are one text here, learned from as often as chosen
     found = sized.join(F.broadcast(wanted), same).dropDuplicates(same).toArrow()
     texts = dict(zip(zip(*[found.column(c).to_pylist() for c in same], strict=True), found.column("text").to_pylist(), strict=True))

@@ -4,11 +4,12 @@ import hashlib
 import os
 
 import duckdb
+import psutil
 import pyarrow as pa
 import pytest
 
 import corpus_pipeline
-from pathloom.llm import catalog, common, lines, packing
+from pathloom.llm import catalog, common, lines, packing, toxicity
 from tools.compare import TABLES, norm
 
 from . import test_lines, test_near_dups, test_repeats
@@ -82,3 +83,31 @@ def test_workers_get_bounded_batches_while_a_table_is_written(spark):
     got = [r.n for r in common.materialise(spark.range(0, 9000, 1, 1).mapInArrow(sizes, "n long"), "batches").collect()]
     assert sum(got) == 9000 and max(got) <= common.BATCH_ROWS < 9000
     assert spark.conf.get(key) == was
+
+
+def heap(spark):
+    """Committed MB of the JVM that runs the tasks."""
+    return spark.sparkContext._jvm.java.lang.Runtime.getRuntime().totalMemory() / 1e6
+
+
+def test_stages_begin_with_heaps_given_back(spark, folder):
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES:
+        held = [spark.sparkContext._jvm.java.nio.ByteBuffer.allocate(300 << 20) for _ in range(4)]
+        before = heap(spark)
+        assert before > 1200
+        for x in held:
+            spark.sparkContext._gateway.detach(x)
+        del held
+        stage(spark, docs, folder)
+        assert heap(spark) < before - 400
+
+
+def test_learning_starts_no_other_workers(spark, folder):
+    """Local rows go to the executors in Arrow: the workers' daemons are as many as for Arrow alone."""
+    daemons = lambda: sum("pyspark.daemon" in " ".join(p.cmdline()) for p in psutil.Process().children(recursive=True) if p.status() != "zombie" and "pyspark.daemon" not in " ".join(p.parent().cmdline()))
+    spark.range(3).mapInArrow(lambda batches: batches, "id long").collect()
+    before = daemons()
+    assert before
+    toxicity.learn(spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/labels.parquet"))
+    assert daemons() == before
