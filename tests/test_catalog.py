@@ -55,3 +55,22 @@ def test_joins_of_repeated_keys(spark, duck, monkeypatch, name, broadcast):
     names = [d[0] for d in rel.description]
     assert mine == sorted((tuple(norm(r[names.index(c)]) for c in columns) for r in rel.fetchall()), key=repr)
     assert df.rdd.getNumPartitions() >= 8  # one file gives one task, whatever comes out of it
+
+
+def test_single_values_are_listed_without_structs(spark, monkeypatch):
+    """Nulls among them stay; sides are counted in one query, a spread left side is not copied."""
+    from pyspark.sql import functions as F
+
+    from pathloom import runtime
+
+    for what, value in (("PAIRS", 5), ("LISTED", 4)):
+        monkeypatch.setattr(runtime, what, value)
+    asked = []
+    monkeypatch.setattr(type(spark.range(1)), "count", lambda df: asked.append(df) or df.agg(F.count(F.lit(1))).first()[0])
+    left = spark.range(40).select((F.col("id") % 3).alias("k"), F.col("id").alias("l"))
+    right = spark.createDataFrame([(0, None), (0, 7), (0, 7), (1, None), (5, 1), (None, 2)], "k long, r long")
+    df = runtime.multiplied(left, right, ["k"])
+    assert not asked
+    assert "explode(__rows" in df._jdf.queryExecution().toString()
+    got = sorted(map(tuple, df.collect()), key=repr)
+    assert got == sorted(((x % 3, x, r) for x in range(40) for k, r in ((0, None), (0, 7), (0, 7), (1, None)) if x % 3 == k), key=repr)
