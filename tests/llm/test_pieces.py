@@ -102,3 +102,19 @@ def test_viterbi_is_the_best_path(spark):
     for r in out.collect():
         assert sum(length[i] for i in r.ids) == len(r.unit)
         assert sum(score[i] for i in r.ids) == pytest.approx(best(r.unit)[0])
+
+
+def test_lattice_makes_only_substrings_that_a_piece_can_be(spark):
+    """The edges are those of all substrings; a head gives the lengths of its pieces alone."""
+    m = pieces.Model.read(pieces.model_path())
+    heads = {r.head: r.ls for r in pieces.head_table(spark, m).collect()}
+    want = {}
+    for i in m.normal:
+        if len(m.pieces[i]) >= pieces.HEAD:
+            want.setdefault(m.pieces[i][: pieces.HEAD], {*range(1, pieces.HEAD)}).add(len(m.pieces[i]))
+    assert heads == {h: sorted(ls) for h, ls in want.items()}
+    units = ["▁", "a", "▁the", "▁international", "qzxj", "▁łódź", "日本", "▁" + "tion" * 15]
+    got = pieces.lattice(spark.createDataFrame([(u, 1) for u in units], "unit string, n long"), m).collect()
+    low = (1 << 24) - 1
+    edges = {r.unit: sorted((x >> 30 & 63, x >> 24 & 63, x & low) for x in r.edges) for r in got}
+    assert edges == {u: sorted((s, e, m.ids[u[s:e]]) for s in range(len(u)) for e in range(s + 1, len(u) + 1) if u[s:e] in m.ids) for u in units}
